@@ -10,10 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setflow.llm import decontam, mixing, neardup, sharding
+from setflow.llm import decontam, langid, mixing, neardup, sharding
 from setflow.llm.common import read, stored
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+#: Documents whose language is less probable than this are rejected, as are those without any letter.
+LEAST_LANGUAGE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a recognisable language; trained on this stage's own labelled documents."""
+    found = langid.identify(docs, langid.train(docs))
+    return found.where((F.col("__lang") != "und") & (F.col("__lang_score") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +49,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return s.select(*docs.columns, F.col("__bytes").alias("n_bytes"), F.col("__shard").alias("shard"))
 
 
-STAGES = [("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix_sources", mix_sources), ("shard", shard)]
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix_sources", mix_sources), ("shard", shard)]
 #: Language scores are not expressible in SQL; the result is tested against a brute-force version.
 ORACLE_SQL = None
 
