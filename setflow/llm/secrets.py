@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, small_batches
 
 #: (kind, version, pattern, hints, condition): fixed values. A text without any hint has no match; None: no hints.
 RULES: list[tuple[str, int, re.Pattern, tuple[str, ...] | None, Callable[[re.Match], bool]]] = [
@@ -58,6 +58,7 @@ def _scan(rules):
 
 def scan(versions: DataFrame, ledger: str | None = None, rules=RULES, path_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """``(path, blob, spans)`` for every version, and the ledger's path; without one a new ledger is made in the shared folder."""
+    small_batches(versions.sparkSession)
     spark = versions.sparkSession
     fresh = ledger is None
     ledger = ledger or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
