@@ -9,9 +9,10 @@
    standard deviations below the threshold) go, the rest is confirmed on the full sets.
 4. Components are found by min-label propagation over stored tables.
 5. A bucket whose members are still in different components may hide links between members that neither is
-   linked to the smallest. Its members are dealt into blocks of bounded size, pairs of blocks are compared by signature
-   inside a task, and only pairs of different components that may be linked are confirmed. So no candidate pair
-   inside a bucket is left untested, and no group is gathered in one task.
+   linked to the smallest. Those members are joined exactly: shingles are ordered from rare to frequent among them, two
+   sets that are similar enough must share one of their first few shingles, and the places of a shared shingle bound
+   the overlap. The pairs of different components that pass the bound are confirmed on the full sets. So no candidate
+   pair inside a bucket is left undecided, no group is gathered in one task, and no pairs of a group are listed.
 
 Defined results: texts without words have the empty set, are their own component and kept. Rows with a null id
 have no component (null), link nothing, and are kept. Rows that share an id are one document with several texts.
@@ -23,17 +24,14 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored
 
 PERMS, ROWS, LOW_BITS = 128, 4, 2
-#: Members of a block in step 5, on average.
-BLOCK = 128
 _rng = np.random.default_rng(20240607)
 MULT = _rng.integers(1, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 2**63, PERMS, dtype=np.uint64)
@@ -128,10 +126,8 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that pass on the full sets; the texts of these ids only are kept and joined."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stored(own.where("text is not null").join(ids, "doc_id", "left_semi").distinct(), "texts")
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that pass on the full sets."""
     a, b = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(width, percent), "a long, b long").distinct()
 
@@ -155,25 +151,38 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         now = new
 
 
-def _close(least: float):
-    """Pairs of different components that the signatures do not rule out, from pairs of blocks."""
-
+def _tokens(width: int):
     def run(batches):
-        for f in batches:
-            left, right = [], []
-            for same, x, y in zip(f["same"], f["x"], f["y"], strict=True):
-                xi, xc, xs = np.array([r["id"] for r in x]), np.array([r["label"] for r in x]), np.array([r["sig"] for r in x]).view(np.uint64)
-                yi, yc, ys = (xi, xc, xs) if same else (np.array([r["id"] for r in y]), np.array([r["label"] for r in y]), np.array([r["sig"] for r in y]).view(np.uint64))
-                for at in range(0, len(xi), 64):
-                    part = slice(at, at + 64)
-                    i, j = np.nonzero((similarity(xs[part, None, :], ys[None, :, :]) >= least) & (xc[part, None] != yc[None, :]))
-                    left.append(np.minimum(xi[part][i], yi[j])), right.append(np.maximum(xi[part][i], yi[j]))
-            both = pd.DataFrame({"a": np.concatenate(left) if left else [], "b": np.concatenate(right) if right else []}, dtype="int64")
-            yield both.drop_duplicates()
+        for b in batches:
+            found = [shingles(t.as_py(), width).view(np.int64) for t in b.column(1)]
+            flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, found)), pa.int32()), flat], ["id", "n", "tokens"])
 
     return run
 
 
+def _may_link(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``members(id, label)`` with different labels whose sets can be similar enough; loses none.
+
+    Places count from 0 in the order (frequency, shingle). If sets of n and m shingles share the shingle at places i
+    and j, and it is the first they share, they overlap in at most 1 + min(n - i - 1, m - j - 1) shingles; they need
+    percent / (100 + percent) of n + m. Shingles that no other member has come first and need no row.
+    """
+    sets = stored(texts.withColumnRenamed("doc_id", "id").join(members, "id", "left_semi").select("id", "text").mapInArrow(_tokens(width), "id long, n int, tokens array<long>"), "tokens")
+    rows = sets.select("id", F.xxhash64("tokens").alias("set"), "n", F.explode("tokens").alias("token"))
+    often = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = rows.join(often, "token")
+    own = Window.partitionBy("id", "set")
+    shared = shared.withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1)
+    first = shared.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100)).join(members, "id")
+    first = stored(first.select("token", "id", "label", "n", "at"), "first")
+    x, y = first.alias("x"), first.alias("y")
+    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    enough = most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & enough)
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row; linked are documents with 100 |A & B| >= percent |A | B|."""
     small_batches(docs.sparkSession)
@@ -184,6 +193,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     members = classes.select("id", F.posexplode("bands").alias("band", "key"))
     crowded = members.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     members = stored(members.join(crowded, ["band", "key"]).select("band", "key", "id", "a", "n"), "members")
+    # the texts that any later step may ask for: those with company in some bucket
+    texts = stored(own.where("text is not null").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct(), "texts")
     least = lowest(percent / 100)
     sigs = classes.groupBy("id").agg(F.collect_list("sig").alias("sigs"))  # several only where rows share an id
     pairs = members.where("id != a").select("a", F.col("id").alias("b")).distinct()
@@ -192,20 +203,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # rows that share an id tie their classes together
     shared = some.select("doc_id", "set_a", "set_b").join(classes.select("set_a", "set_b", "id"), ["set_a", "set_b"])
     shared = shared.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.collect_set("id").alias("ids")).where("a != z").select("a", F.explode("ids").alias("b")).where("a != b")
-    links = stored(_confirmed(pairs, own, width, percent).unionByName(shared), "links")
+    links = stored(_confirmed(pairs, texts, width, percent).unionByName(shared), "links")
     found = components(links)
     # members of one bucket that are still in different components
-    labelled = members.select("band", "key", "id", "n").join(found, "id", "left").select("band", "key", "id", "n", F.coalesce("label", "id").alias("label"))
+    labelled = members.select("band", "key", "id").join(found, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label"))
     apart = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band", "key")
-    labelled = labelled.join(apart, ["band", "key"]).join(classes.select("id", "sig"), "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    labelled = labelled.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    block = stored(labelled.groupBy("band", "key", "blocks", "block").agg(F.collect_list(F.struct("id", "label", "sig")).alias("x")), "blocks")
-    other = block.select("band", "key", F.col("block").alias("other"), F.col("x").alias("y"))
-    wanted = block.withColumn("other", F.explode(F.expr("sequence(block, blocks - 1)")))
-    met = wanted.join(other, ["band", "key", "other"]).select((F.col("block") == F.col("other")).alias("same"), "x", "y")
-    more = stored(met.mapInPandas(_close(least), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    undecided = stored(labelled.join(apart, ["band", "key"], "left_semi").select("id", "label").distinct(), "undecided")
+    more = stored(_may_link(undecided, texts, width, percent).join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        extra = stored(_confirmed(more, own, width, percent), "extra")
+        extra = stored(_confirmed(more, texts, width, percent), "extra")
         if not extra.isEmpty():
             found = components(links.unionByName(extra))
     labels = classes.select("set_a", "set_b", "id").join(found, "id", "left").select("set_a", "set_b", F.coalesce("label", "id").alias("label"))
