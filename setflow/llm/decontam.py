@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import alnum_words, stored
 
 KEY = ["doc_id", "th"]
+#: Up to so many windows, a checked number, their plan (about 60 bytes each) is broadcast; more are joined by a shuffle.
+BROADCAST_WINDOWS = 200_000
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,6 +54,8 @@ def _ranked(windows: DataFrame, index: DataFrame, lists: int) -> DataFrame:
 def phrase_candidates(index: DataFrame, ranked: DataFrame, lists: int) -> DataFrame:
     """``(doc_id, th, wid, start)`` where the ``lists`` rarest terms of a window all stand at their offsets."""
     plan = ranked.select("wid", *[f"{c}{r}" for r in range(1, lists + 1) for c in ("tid", "off")])
+    if ranked.count() <= BROADCAST_WINDOWS:
+        plan = F.broadcast(plan)
     first = index.join(plan.withColumnRenamed("tid1", "tid"), "tid")
     found = first.withColumn("start", F.col("pos") - F.col("off1")).where("start >= 0").drop("tid", "pos", "off1")
     for r in range(2, lists + 1):
