@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, mixing, neardup, ogg, secrets, sharding, tokencount, urlgbt
+from . import decontam, langid, licenses, mixing, neardup, ogg, oracles, secrets, sharding, tokencount, urlgbt
 from .common import read
 
 MIX_WEIGHTS, MIX_SHARE, MIX_COPIES = [3.0, 1.0, 2.0], 1.5, 2.0
@@ -74,4 +74,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_langid, op3_urls, op4_mix, op5_ogg, op6_tokens, op7_neardup, op8_secrets, op9_shard, op10_licenses)}
-ORACLE_SQL: dict[str, str] = {}
+#: The others have a learned model, a media container, a tokenizer or match positions, which SQL lacks; they are tested by brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": oracles.decontamination(10),
+    "op4_mix": oracles.mixture(MIX_WEIGHTS, MIX_SHARE, MIX_COPIES),
+    "op7_neardup": oracles.near_duplicates(80),
+    "op9_shard": oracles.shards(SHARD_BYTES),
+    "op10_licenses": oracles.license_scan(),
+}
