@@ -156,7 +156,8 @@ def _tokens(width: int):
         for b in batches:
             found = [shingles(t.as_py(), width).view(np.int64) for t in b.column(1)]
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, found)), pa.int32()), flat], ["id", "n", "tokens"])
+            name = pa.array([xxhash.xxh64_intdigest(f.tobytes()) - 2**63 for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), name, pa.array(list(map(len, found)), pa.int32()), flat], ["id", "set", "n", "tokens"])
 
     return run
 
@@ -168,8 +169,8 @@ def _may_link(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
     and j, and it is the first they share, they overlap in at most 1 + min(n - i - 1, m - j - 1) shingles; they need
     percent / (100 + percent) of n + m. Shingles that no other member has come first and need no row.
     """
-    sets = stored(texts.withColumnRenamed("doc_id", "id").join(members, "id", "left_semi").select("id", "text").mapInArrow(_tokens(width), "id long, n int, tokens array<long>"), "tokens")
-    rows = sets.select("id", F.xxhash64("tokens").alias("set"), "n", F.explode("tokens").alias("token"))
+    sets = stored(texts.withColumnRenamed("doc_id", "id").join(members, "id", "left_semi").select("id", "text").mapInArrow(_tokens(width), "id long, set long, n int, tokens array<long>"), "tokens")
+    rows = sets.select("id", "set", "n", F.explode("tokens").alias("token"))
     often = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = rows.join(often, "token")
     own = Window.partitionBy("id", "set")
