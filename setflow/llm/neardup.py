@@ -171,7 +171,7 @@ def _may_link(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
     """
     sets = stored(texts.withColumnRenamed("doc_id", "id").join(members, "id", "left_semi").select("id", "text").mapInArrow(_tokens(width), "id long, set long, n int, tokens array<long>"), "tokens")
     rows = sets.select("id", "set", "n", F.explode("tokens").alias("token"))
-    often = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    often = stored(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
     shared = rows.join(often, "token")
     own = Window.partitionBy("id", "set")
     shared = shared.withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1)
@@ -192,8 +192,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     some = sets.where("n_shingles > 0 and doc_id is not null")
     classes = stored(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     members = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    crowded = members.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    members = stored(members.join(crowded, ["band", "key"]).select("band", "key", "id", "a", "n"), "members")
+    # stored, so that the join's two sides are plain shuffles, whose large partitions Spark can split
+    crowded = stored(members.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "crowded")
+    members = stored(members.join(crowded, ["band", "key"]).select("band", "key", "id", "a"), "members")
     # the texts that any later step may ask for: those with company in some bucket
     texts = stored(own.where("text is not null").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct(), "texts")
     least = lowest(percent / 100)
@@ -209,6 +210,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # members of one bucket that are still in different components
     labelled = members.select("band", "key", "id").join(found, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label"))
     apart = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band", "key")
+    apart = stored(apart, "apart")
     undecided = stored(labelled.join(apart, ["band", "key"], "left_semi").select("id", "label").distinct(), "undecided")
     more = stored(_may_link(undecided, texts, width, percent).join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
