@@ -21,7 +21,7 @@ from .measure import BoxMeasure
 from .transfer import TransferOperator
 
 #: Steps of a batch map with at most so many test points need no job.
-LOCAL_POINTS = 1 << 21
+LOCAL_POINTS = 1 << 19
 LOCAL_CELLS = 1 << 16
 
 
@@ -48,7 +48,7 @@ def relative_attractor(box_map: BoxMap, cells: BoxSet, steps: int = 12) -> BoxSe
     """Refine, then keep the cells that are hit from the set itself; ``steps`` times, even if the set becomes empty."""
     cells, steps = _small(cells, box_map, steps)
     for _ in range(steps):
-        cells = cells.refine().stored()
+        cells = cells.refine()
         cells = (cells & box_map.image(cells)).stored()
     return cells
 
@@ -74,7 +74,7 @@ def preimage(box_map: BoxMap, cells: BoxSet, among: BoxSet) -> BoxSet:
 def alpha_limit_set(box_map: BoxMap, cells: BoxSet, steps: int = 12) -> BoxSet:
     """Refine, then keep the cells whose image meets the set."""
     for _ in range(steps):
-        cells = cells.refine().stored()
+        cells = cells.refine()
         cells = preimage(box_map, cells, cells).stored()
     return cells
 
@@ -82,7 +82,7 @@ def alpha_limit_set(box_map: BoxMap, cells: BoxSet, steps: int = 12) -> BoxSet:
 def maximal_invariant_set(box_map: BoxMap, cells: BoxSet, steps: int = 12) -> BoxSet:
     """Refine, then keep the cells that are hit from the set and whose image meets it; the map is applied once a step."""
     for _ in range(steps):
-        cells = cells.refine().stored()
+        cells = cells.refine()
         pairs = stored(box_map.counted(cells).select("src", "dst").join(cells.df.withColumnRenamed("key", "dst"), "dst", "left_semi"), "pairs")
         hit, source = pairs.select(F.col("dst").alias("key")).distinct(), pairs.select(F.col("src").alias("key")).distinct()
         cells = BoxSet(cells.partition, hit.join(source, "key", "left_semi")).stored()
@@ -103,7 +103,7 @@ def recurrent_set(box_map: BoxMap, cells: BoxSet, steps: int = 12) -> BoxSet:
     for _ in range(steps):
         if cells.is_empty():
             break
-        cells = cells.refine().stored()
+        cells = cells.refine()
         cells = morse_sets(box_map, cells).stored()
     return cells
 

@@ -1,35 +1,25 @@
 """Space-filling-curve shards of cell sets, and how even they are.
 
-Both splits need a running sum along the Morton order. It is taken in two levels: keys are range-partitioned by their
-code, each part sums inside itself, and a table with one row per part carries the offsets, so no task sees all cells.
+Both splits need a running sum along the Morton order, which no single task computes; see ``ordering``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.durable import stored
 from .boxset import BoxSet
+from .ordering import running
 
 
 def morton_codes(cells: BoxSet) -> DataFrame:
     return cells.df.select("key", cells.partition.morton_expr(F.col("key")).alias("morton"))
 
 
-def _running(rows: DataFrame, value: Column, parts: int) -> DataFrame:
-    """``rows(key, morton, ...)`` with ``upto`` (inclusive running sum of ``value`` in Morton order) and ``total``."""
-    ranged = stored(rows.withColumn("__v", value).repartitionByRange(parts, "morton").withColumn("__part", F.spark_partition_id()), "ranged")
-    sums = ranged.groupBy("__part").agg(F.sum("__v").alias("s"))
-    before = F.coalesce(F.sum("s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("__part", before.alias("__before"), F.sum("s").over(Window.partitionBy()).alias("total"))
-    own = F.sum("__v").over(Window.partitionBy("__part").orderBy("morton").rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("__own", own).join(sums, "__part").withColumn("upto", F.col("__before") + F.col("__own")).drop("__part", "__own", "__before", "__v")
-
-
 def uniform_shards(cells: BoxSet, shards: int, parts: int = 32) -> DataFrame:
     """``(key, morton, shard)``: equal counts along the curve; the first shards get one more."""
-    rows = _running(morton_codes(cells), F.lit(1).cast("long"), parts)
+    rows = running(morton_codes(cells), "morton", F.lit(1).cast("long"), parts)
     at, size, more = F.col("upto") - 1, F.expr(f"total div {shards}"), F.expr(f"total % {shards}")
     big = more * (size + 1)
     shard = F.when(at < big, F.floor(at / (size + 1))).otherwise(more + F.floor((at - big) / F.greatest(size, F.lit(1))))
@@ -45,7 +35,7 @@ def weighted_shards(cells: BoxSet, weights: DataFrame, shards: int, parts: int =
     rows = stored(rows, "weights")
     if (rows.agg(F.sum("weight").alias("s")).first()["s"] or 0) == 0:
         return uniform_shards(cells, shards, parts).join(rows.select("key", "weight"), "key").select("key", "morton", "weight", "shard")
-    run = _running(rows, F.col("weight"), parts)
+    run = running(rows, "morton", F.col("weight"), parts)
     # position i starts shard s if the running sum reaches s / shards of the total at i: count the cuts below
     cuts = F.array(*[F.lit(float(s)) * (F.col("total") / F.lit(float(shards))) for s in range(1, shards)]) if shards > 1 else F.array().cast("array<double>")
     shard = F.size(F.filter(cuts, lambda c: c <= F.col("upto")))

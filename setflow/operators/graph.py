@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..sources.durable import stored
 from .boxset import BoxSet
 from .measure import BoxMeasure
+from .ordering import numbered
 
 LOCAL_EDGES = 2_000_000
 
@@ -169,8 +170,6 @@ class BoxGraph:
 
     def tiles(self) -> BoxMeasure:
         """Recurrent cells labelled 1, 2, ... in the order of their components' smallest keys."""
-        from pyspark.sql import Window
-
         cells = self.recurrent()
-        names = cells.select("component").distinct().withColumn("weight", F.row_number().over(Window.orderBy("component")).cast("double"))
+        names = numbered(cells.select("component").distinct(), "component", "n", 4).select("component", (F.col("n") + 1).cast("double").alias("weight"))
         return BoxMeasure(self.partition, cells.join(names, "component").select("key", "weight"))

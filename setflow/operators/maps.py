@@ -19,8 +19,8 @@ from ..functions.geometry import Box, BoxPartition
 from ..functions.ode import rk4_tspan
 from .boxset import BoxSet
 
-#: Test points that a batch map evaluates at once.
-POINTS_AT_ONCE = 1 << 17
+#: Test points that a batch map evaluates at once: their arrays stay in the cache.
+POINTS_AT_ONCE = 1 << 14
 
 
 def grid_points(ndim: int, n: int | Sequence[int] = 4) -> np.ndarray:

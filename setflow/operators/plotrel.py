@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boxset import BoxSet
 from .measure import BoxMeasure
+from .ordering import numbered
 
 #: Corners of a hexahedron in the usual order of visualisation tools - fixed values.
 HEX = [(-1, -1, -1), (1, -1, -1), (1, 1, -1), (-1, 1, -1), (-1, -1, 1), (1, -1, 1), (1, 1, 1), (-1, 1, 1)]
@@ -66,8 +67,7 @@ def hexahedra(cells: BoxSet, axes: Sequence[int] = (0, 1, 2)) -> DataFrame:
 
 def hex_connectivity(cells: BoxSet) -> DataFrame:
     """``key, cell, vertices``: cells numbered in key order, each with the numbers of its eight corners."""
-    number = F.row_number().over(Window.orderBy("key")) - 1
-    rows = cells.df.select("key", number.cast("long").alias("cell"))
+    rows = numbered(cells.df, "key", "cell")
     return rows.select("key", "cell", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.col("cell") * 8 + i).alias("vertices"))
 
 
