@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import BoxPartition
-from ..sources.durable import stored
+from ..sources.durable import discard, stored
 from .boxset import BoxSet, key_frame
 from .graph import BoxGraph
 from .maps import BatchMap, BoxMap, ColumnMap
@@ -47,9 +47,17 @@ def _small(cells: BoxSet, box_map: BoxMap, steps: int) -> tuple[BoxSet, int]:
 def relative_attractor(box_map: BoxMap, cells: BoxSet, steps: int = 12) -> BoxSet:
     """Refine, then keep the cells that are hit from the set itself; ``steps`` times, even if the set becomes empty."""
     cells, steps = _small(cells, box_map, steps)
+    return _refined(cells, steps, lambda fine: fine & box_map.image(fine))
+
+
+def _refined(cells: BoxSet, steps: int, keep) -> BoxSet:
+    """``steps`` times refine and keep a part; each step's table replaces the one before."""
+    old = None
     for _ in range(steps):
-        cells = cells.refine()
-        cells = (cells & box_map.image(cells)).stored()
+        cells = keep(cells.refine()).stored()
+        if old is not None:
+            discard(old)
+        old = cells.df
     return cells
 
 
@@ -73,20 +81,20 @@ def preimage(box_map: BoxMap, cells: BoxSet, among: BoxSet) -> BoxSet:
 
 def alpha_limit_set(box_map: BoxMap, cells: BoxSet, steps: int = 12) -> BoxSet:
     """Refine, then keep the cells whose image meets the set."""
-    for _ in range(steps):
-        cells = cells.refine()
-        cells = preimage(box_map, cells, cells).stored()
-    return cells
+    return _refined(cells, steps, lambda fine: preimage(box_map, fine, fine))
 
 
 def maximal_invariant_set(box_map: BoxMap, cells: BoxSet, steps: int = 12) -> BoxSet:
     """Refine, then keep the cells that are hit from the set and whose image meets it; the map is applied once a step."""
-    for _ in range(steps):
-        cells = cells.refine()
-        pairs = stored(box_map.counted(cells).select("src", "dst").join(cells.df.withColumnRenamed("key", "dst"), "dst", "left_semi"), "pairs")
+
+    def keep(fine: BoxSet) -> BoxSet:
+        pairs = stored(box_map.counted(fine).select("src", "dst").join(fine.df.withColumnRenamed("key", "dst"), "dst", "left_semi"), "pairs")
         hit, source = pairs.select(F.col("dst").alias("key")).distinct(), pairs.select(F.col("src").alias("key")).distinct()
-        cells = BoxSet(cells.partition, hit.join(source, "key", "left_semi")).stored()
-    return cells
+        both = BoxSet(fine.partition, hit.join(source, "key", "left_semi")).stored()
+        discard(pairs)
+        return both
+
+    return _refined(cells, steps, keep)
 
 
 def morse_sets(box_map: BoxMap, cells: BoxSet) -> BoxSet:

@@ -26,7 +26,7 @@ def key_frame(spark: SparkSession, keys: Iterable[int]) -> DataFrame:
 class BoxSet:
     def __init__(self, partition: BoxPartition, df: DataFrame):
         """``df`` has a column ``key`` of distinct valid keys; use the constructors below for anything else."""
-        self.partition, self.df = partition, df.select("key")
+        self.partition, self.df = partition, df if df.columns == ["key"] else df.select("key")
 
     # sources
 
@@ -86,7 +86,7 @@ class BoxSet:
 
     def stored(self) -> BoxSet:
         """The same set, computed once and kept as a table in the shared folder."""
-        return BoxSet(self.partition, stored(self.df, "cells"))
+        return self if hasattr(self.df, "_stored_at") else BoxSet(self.partition, stored(self.df, "cells"))
 
     def __contains__(self, key: int) -> bool:
         return not self.df.where(F.col("key") == int(key)).isEmpty()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.durable import stored
+from ..sources.durable import discard, stored
 from .boxset import BoxSet
 from .measure import BoxMeasure
 from .ordering import numbered
@@ -76,6 +76,7 @@ def _spread(edges: DataFrame, values: DataFrame) -> DataFrame:
         new = stored(values.union(sent).groupBy("key").agg(F.max("v").alias("v")), "colours")
         if new.join(values.withColumnRenamed("v", "was"), "key").where("v != was").isEmpty():
             return new
+        discard(values)
         values = new
 
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.durable import stored
+from ..sources.durable import discard, stored
 from .measure import BoxMeasure, from_arrays
 
 DENSE_CELLS = 1500
@@ -117,33 +117,53 @@ class _Edges:
         self.edges = edges
 
 
-def subspace_iteration(transfer, k: int = 3, rounds: int = 60, tol: float = 1e-8) -> tuple[np.ndarray, list[BoxMeasure]]:
-    """Distributed: a block of k vectors as columns ``v0..`` of a cell table, multiplied by a join, made orthonormal by its Gram matrix."""
-    p, cells = transfer.domain.partition, transfer.domain.df
+def _product(edges: DataFrame, block: DataFrame, names: list[str], source: str, target: str, cells: DataFrame) -> DataFrame:
+    """A block of vectors times the matrix (or its transpose), for every one of ``cells``."""
+    image = edges.join(block.withColumnRenamed("key", source), source).groupBy(F.col(target).alias("key")).agg(*[F.sum(F.col("weight") * F.col(v)).alias(v) for v in names])
+    return cells.join(image, "key", "left").select("key", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in names])
+
+
+def _iterate(cells: DataFrame, multiply, k: int, rounds: int, tol: float) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Distributed block iteration: eigenvalues by falling magnitude, their k x k vectors, and the basis these refer to."""
     names = [f"v{i}" for i in range(k)]
-    mix = F.xxhash64
-    block = stored(cells.select("key", F.lit(1.0).alias("v0"), *[(F.pmod(mix(F.col("key"), F.lit(i)), F.lit(1000003)) / F.lit(1000003.0) - F.lit(0.5)).alias(f"v{i}") for i in range(1, k)]), "block")
-    last = None
+    start = [F.lit(1.0).alias("v0"), *[(F.pmod(F.xxhash64("key", F.lit(i)), F.lit(1000003)) / F.lit(1000003.0) - F.lit(0.5)).alias(f"v{i}") for i in range(1, k)]]
+    block, last = stored(cells.select("key", *start), "block"), None
     for _ in range(rounds):
         q = _orthonormal(block, names)
-        image = transfer.edges.join(q.withColumnRenamed("key", "src"), "src").groupBy(F.col("dst").alias("key")).agg(*[F.sum(F.col("weight") * F.col(v)).alias(v) for v in names])
-        image = cells.join(image, "key", "left").select("key", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in names])
-        image = stored(image, "block")
+        image = stored(multiply(q, names), "block")
         both = q.join(image.select("key", *[F.col(v).alias("a" + v) for v in names]), "key")
         row = both.agg(*[F.sum(F.col(a) * F.col("a" + b)).alias(f"{a}_{b}") for a in names for b in names]).first()
-        small = np.array([[row[f"{a}_{b}"] for b in names] for a in names])
-        values, s = np.linalg.eig(small)
+        values, s = np.linalg.eig(np.array([[row[f"{a}_{b}"] for b in names] for a in names]))
         order = np.argsort(-np.abs(values), kind="stable")
         values, s = values[order], s[:, order]
+        discard(block)
         block = image
         if last is not None and np.all(np.abs(values - last) <= tol * np.maximum(np.abs(values), 1e-8)):
             break
         last = values
-    vectors = []
-    for i in range(k):
-        v = sum((F.col(a) * F.lit(float(c)) for a, c in zip(names, np.real(s[:, i]), strict=True)), F.lit(0.0))
-        vectors.append(BoxMeasure(p, q.select("key", v.alias("weight"))))
-    return values, vectors
+    return values, s, q
+
+
+def _combined(q: DataFrame, weights: np.ndarray) -> DataFrame:
+    v = sum((F.col(f"v{j}") * F.lit(float(c)) for j, c in enumerate(np.real(weights))), F.lit(0.0))
+    return q.select("key", v.alias("weight"))
+
+
+def subspace_iteration(transfer, k: int = 3, rounds: int = 60, tol: float = 1e-8) -> tuple[np.ndarray, list[BoxMeasure]]:
+    """Eigenpairs without gathering the matrix: products are joins and sums, only k x k matrices reach the driver."""
+    cells = transfer.domain.df
+    values, s, q = _iterate(cells, lambda b, names: _product(transfer.edges, b, names, "src", "dst", cells), k, rounds, tol)
+    return values, [BoxMeasure(transfer.domain.partition, _combined(q, s[:, i])) for i in range(k)]
+
+
+def svds_distributed(transfer, k: int = 3, rounds: int = 60, tol: float = 1e-10) -> tuple[list[BoxMeasure], np.ndarray, list[BoxMeasure]]:
+    """Singular pairs by block iteration on the matrix times its transpose."""
+    rows, cols, e = transfer.codomain.df, transfer.domain.df, transfer.edges
+    values, s, q = _iterate(cols, lambda b, names: _product(e, _product(e, b, names, "src", "dst", rows), names, "dst", "src", cols), k, rounds, tol)
+    sigma = np.sqrt(np.maximum(np.real(values), 0.0))
+    right = [BoxMeasure(transfer.domain.partition, _combined(q, s[:, i])) for i in range(k)]
+    left = [transfer.push_forward(v) / float(x) if x > 0 else transfer.push_forward(v) for v, x in zip(right, sigma, strict=True)]
+    return left, sigma, right
 
 
 def _orthonormal(block: DataFrame, names: list[str]) -> DataFrame:
@@ -157,8 +177,11 @@ def _orthonormal(block: DataFrame, names: list[str]) -> DataFrame:
 def svds(transfer, k: int = 3) -> tuple[list[BoxMeasure], np.ndarray, list[BoxMeasure]]:
     """Left vectors (codomain), singular values in falling order, right vectors (domain)."""
     spark = transfer.edges.sparkSession
-    cols, rows = np.sort(transfer.domain.df.toArrow().column("key").to_numpy()), np.sort(transfer.codomain.df.toArrow().column("key").to_numpy())
-    m = _Matrix(transfer, rows, cols, DRIVER_EDGES)
+    cols, rows = (np.sort(c.df.limit(DRIVER_EDGES + 1).toArrow().column("key").to_numpy()) for c in (transfer.domain, transfer.codomain))
+    try:
+        m = _Matrix(transfer, rows, cols, DRIVER_EDGES if max(len(rows), len(cols)) <= DRIVER_EDGES else 0)
+    except OverflowError:
+        return svds_distributed(transfer, k)
     if max(len(rows), len(cols)) <= DENSE_CELLS:
         u, s, vt = np.linalg.svd(m.dense(), full_matrices=False)
         u, s, v = u[:, :k], s[:k], vt[:k].T

@@ -136,6 +136,8 @@ def test_spectra(spark):
     assert np.allclose(np.abs(spectral._arnoldi(m, 3, "LM", 40)[0]), dense, atol=1e-6)
     block, _ = spectral.subspace_iteration(t, 2, rounds=6)
     assert abs(abs(block[0]) - 1) < 1e-6
+    far = spectral.svds_distributed(t, 2, rounds=4)
+    assert np.allclose(far[1], [1, 1], atol=1e-6) and (t @ far[2][0]).equals(far[0][0] * float(far[1][0]))
     with pytest.raises(ValueError):
         g.eigs(1, "XX")
     left, s, right = t.svds(2)
