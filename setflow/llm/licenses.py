@@ -4,9 +4,11 @@ A text is cut into sentences, each is normalised (ASCII lower case, everything b
 spaces) and mapped to the identifier of a known licence sentence, if it is one. The sequence of identifiers is then
 matched against ordered rules, longer rules first; what a rule has matched is used up.
 
-Texts are cut twice: at line ends and sentence ends, which finds notices on their own line, and at sentence ends only,
-which finds sentences wrapped over lines. Everything runs inside one narrow pass; only texts that hold one of the hint
-words, of which every known sentence has one, are cut at all.
+Texts are cut three times: at line ends and sentence ends, which finds notices on their own line; at sentence ends only,
+which finds sentences wrapped over lines; and by paragraphs, which finds headers in their usual layout. There a line without
+letters and digits (comment marks may stand in it) and a line with nothing but a url end a sentence; a colon, a semicolon and
+the start of such a url may end one, so up to ``SPAN`` pieces between them are also tried as one sentence. Everything runs
+inside one narrow pass; only texts that hold one of the hint words, of which every known sentence has one, are cut at all.
 
 Defined results: null, empty and other texts without known sentences have no licences (an empty list, 0 sentences);
 repeated rows get equal results; columns of the input do not clash.
@@ -44,6 +46,8 @@ RULES = [
     ("BSD-2-Clause", [10, 11]), ("MIT", [12]), ("Apache-2.0", [13]), ("GPL-3.0-or-later", [14, 15]), ("CC-BY-4.0", [16]),
 ]
 HINTS = ["licens", "permission", "redistribut"]
+#: Most pieces between colons, semicolons and urls that one known sentence may have.
+SPAN = 3
 
 
 def sentences(text: Column, wrapped: bool) -> Column:
@@ -53,11 +57,31 @@ def sentences(text: Column, wrapped: bool) -> Column:
     return F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
 
 
+def _listed(places: Column) -> Column:
+    """Places in the list of known sentences, each between commas, without the zeros."""
+    return F.array_join(F.transform(F.filter(places, lambda k: k > 0), lambda k: F.concat(F.lit(","), k.cast("string"), F.lit(","))), "")
+
+
 def identifiers(text: Column, wrapped: bool, known: list[str] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order, each between commas: ``,5,,6,``; empty if there are none."""
     table = F.array(*[F.lit(k) for k in known])
-    found = F.filter(F.transform(sentences(text, wrapped), lambda s: F.array_position(table, s)), lambda k: k > 0)
-    return F.array_join(F.transform(found, lambda k: F.concat(F.lit(","), k.cast("string"), F.lit(","))), "")
+    return _listed(F.transform(sentences(text, wrapped), lambda s: F.array_position(table, s)))
+
+
+def paragraph_identifiers(text: Column, known: list[str] = SENTENCES) -> Column:
+    """``identifiers`` of a text cut by paragraphs: at ``\\r`` a sentence ends, at ``\\x01`` it may end."""
+    table, mark = F.array(*[F.lit(k) for k in known]), r"[^\p{L}\p{N}\n\r]*"
+    cut = F.regexp_replace(ascii_lower(text), r"\r\n?", "\n")
+    cut = F.regexp_replace(cut, r"\n[^\p{L}\p{N}]*\n", "\r")
+    cut = F.regexp_replace(cut, rf"[\n\r]{mark}(https?://\S+){mark}(?=[\n\r]|\z)", "\x01$1\r")
+    cut = F.regexp_replace(F.regexp_replace(cut, r"[:;](?=\s)", "\x01"), r"[.!?]\s+", "\r")
+    pieces = lambda s: F.array_remove(F.transform(F.split(s, "\x01"), lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))), "")
+
+    def places(p: Column) -> Column:
+        place = lambda x, i, n: F.array_position(table, F.array_join(F.slice(p, i + 1, n), " "))
+        return F.transform(p, lambda x, i: F.coalesce(*[F.nullif(place(x, i, n), F.lit(0)) for n in range(SPAN, 0, -1)], F.lit(0)))
+
+    return _listed(F.flatten(F.transform(F.transform(F.split(cut, "\r"), pieces), places)))
 
 
 def matched(ids: Column, rules=RULES) -> Column:
@@ -75,5 +99,6 @@ def scan(docs: DataFrame, known: list[str] = SENTENCES, rules=RULES, hints: list
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.when(F.lower(text).rlike("|".join(hints)), text).alias("text"))
     rows = rows.withColumn("lines", F.coalesce(identifiers(F.col("text"), False, known), F.lit(""))).withColumn("prose", F.coalesce(identifiers(F.col("text"), True, known), F.lit("")))
-    names = F.array_sort(F.array_union(matched(F.col("lines"), rules), matched(F.col("prose"), rules)))
+    rows = rows.withColumn("paragraphs", F.coalesce(paragraph_identifiers(F.col("text"), known), F.lit("")))
+    names = F.array_sort(F.array_distinct(F.concat(*[matched(F.col(c), rules) for c in ("lines", "prose", "paragraphs")])))
     return rows.select("doc_id", F.col("lines").alias("sequence"), F.length(F.regexp_replace("lines", "[^,]", "")).cast("long").alias("commas"), names.alias("licenses")).select("doc_id", "sequence", F.expr("commas div 2").alias("n_sentences"), "licenses")

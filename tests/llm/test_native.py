@@ -197,3 +197,67 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
     assert all(any(h in s for h in licenses.HINTS) for s in licenses.SENTENCES)
     assert licenses.scan(docs(spark, [(1, MIT, "s")] * 3)).count() == 3
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+APACHE_HEADER = """Copyright 2020 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL_HEADER = """<one line to give the program's name and a brief idea of what it does.>
+Copyright (C) 2020  Jane Doe
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+def test_licenses_in_their_usual_layout(spark):
+    heads = {MIT_FILE: "MIT", APACHE_HEADER: "Apache-2.0", GPL_HEADER: "GPL-3.0-or-later"}
+    ways = [
+        lambda t: t,
+        lambda t: t.replace("\n", "\r\n"),
+        lambda t: "".join(f"# {x}".rstrip() + "\n" for x in t.splitlines()) + "import os\n",
+        lambda t: "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in t.splitlines()) + " */\nint main;\n",
+        lambda t: t.replace("software: you", "software;\nyou").replace('"License");\nyou', '"License"); you').replace("at\n\n ", "at:\n"),
+    ]
+    cases = [(way(t), name) for way in ways for t, name in heads.items()]
+    cases += [(GPL_HEADER.replace("You should", "You must"), ""), (APACHE_HEADER.replace("/LICENSE-2.0", "/OTHER"), ""), (APACHE_HEADER + "\n" * 5000 + MIT_FILE, "Apache-2.0,MIT")]
+    got = {r["doc_id"]: ",".join(r["licenses"]) for r in licenses.scan(docs(spark, [(i, t, "s") for i, (t, _) in enumerate(cases)])).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for _, name in cases]
