@@ -174,6 +174,42 @@ def _orthonormal(block: DataFrame, names: list[str]) -> DataFrame:
     return stored(block.select("key", *[sum((F.col(a) * F.lit(float(t[j, i])) for j, a in enumerate(names)), F.lit(0.0)).alias(names[i]) for i in range(len(names))]), "basis")
 
 
+def _largest(n: int, times, k: int, tol: float = 1e-9, cycles: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenpairs of a symmetric operator without negative ones, repeated eigenvalues included.
+
+    Block Lanczos with full reorthogonalisation, restarted with the best vectors until the residuals are below ``tol``
+    times the largest eigenvalue; a block has more vectors than ``k``, so that copies of an eigenvalue are not missed.
+    """
+    b = min(n, k + 4)
+    size = min(n, max(4 * b, 60))
+    q, t, used = np.zeros((n, size)), np.zeros((size, size)), 0
+    block = np.linalg.qr(np.random.default_rng(0).standard_normal((n, b)))[0]
+    for _ in range(cycles):
+        while True:
+            at, used = used, used + block.shape[1]
+            q[:, at:used] = block
+            x = np.stack([times(y) for y in block.T], axis=1)
+            t[:used, at:used] = q[:, :used].T @ x
+            for _ in range(2):
+                x = x - q[:, :used] @ (q[:, :used].T @ x)
+            block, c, r = np.linalg.svd(x, full_matrices=False)
+            new = c > 1e-11 * np.abs(t[:used, :used]).max()
+            block, rest = block[:, new], c[new, None] * r[new]
+            block = np.linalg.qr(block - q[:, :used] @ (q[:, :used].T @ block))[0]
+            if not 0 < block.shape[1] <= size - used:
+                break
+        upper = np.triu(t[:used, :used])
+        d, w = np.linalg.eigh(upper + np.triu(upper, 1).T)
+        d, w = d[::-1], w[:, ::-1]
+        if block.shape[1] == 0 or np.all(np.linalg.norm(rest @ w[at:used, :k], axis=0) <= tol * max(d[0], 1e-300)):
+            return d[:k], q[:, :used] @ w[:, :k]
+        keep = min(used, (size - b) // 2 + k // 2, size - block.shape[1])
+        q[:, :keep] = q[:, :used] @ w[:, :keep]
+        t[:], used = 0.0, keep
+        t[:keep, :keep] = np.diag(d[:keep])
+    raise ArithmeticError(f"{k} singular values did not converge in {cycles} cycles")
+
+
 def svds(transfer, k: int = 3) -> tuple[list[BoxMeasure], np.ndarray, list[BoxMeasure]]:
     """Left vectors (codomain), singular values in falling order, right vectors (domain)."""
     spark = transfer.edges.sparkSession
@@ -185,26 +221,10 @@ def svds(transfer, k: int = 3) -> tuple[list[BoxMeasure], np.ndarray, list[BoxMe
     if max(len(rows), len(cols)) <= DENSE_CELLS:
         u, s, vt = np.linalg.svd(m.dense(), full_matrices=False)
         u, s, v = u[:, :k], s[:k], vt[:k].T
-    else:  # Lanczos on the normal equations, with full reorthogonalisation
-        size = min(len(cols), max(4 * k + 40, 60))
-        q = np.zeros((len(cols), size))
-        x = np.random.default_rng(0).standard_normal(len(cols))
-        t = np.zeros((size, size))
-        used = size
-        for j in range(size):
-            q[:, j] = x / np.linalg.norm(x)
-            x = m.transposed(m @ q[:, j])
-            c = q[:, : j + 1].T @ x
-            t[: j + 1, j] = c
-            for _ in range(2):
-                x = x - q[:, : j + 1] @ (q[:, : j + 1].T @ x)
-            if np.linalg.norm(x) < 1e-13:
-                used = j + 1
-                break
-        d, w = np.linalg.eigh((t[:used, :used] + t[:used, :used].T) / 2)
-        pick = np.argsort(-d)[:k]
-        s, v = np.sqrt(np.maximum(d[pick], 0)), q[:, :used] @ w[:, pick]
-        u = np.stack([(m @ v[:, i]) / s[i] if s[i] > 0 else np.zeros(len(rows)) for i in range(len(s))], axis=1)
+    else:
+        v = _largest(len(cols), lambda x: m.transposed(m @ x), min(k, len(rows), len(cols)))[1]
+        u, s, z = np.linalg.svd(np.stack([m @ x for x in v.T], axis=1), full_matrices=False)
+        v = v @ z.T
     left, right = [], []
     for i in range(len(s)):
         sign = 1.0 if len(v) == 0 or v[np.argmax(np.abs(v[:, i])), i] >= 0 else -1.0

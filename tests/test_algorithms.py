@@ -144,6 +144,32 @@ def test_spectra(spark):
     assert np.allclose(s, [1, 1], atol=1e-8) and (t @ right[0]).equals(left[0] * s[0])
 
 
+def test_svds_beyond_dense(spark, monkeypatch):
+    p, q = BoxPartition(Box([0.5, 0.5], [0.5, 0.5]), [16, 16]), BoxPartition(Box([0.5], [0.5]), [256])
+    for t in (
+        TransferOperator(ColumnMap(S.logistic, q.domain, np.linspace(-0.99, 0.99, 400)[:, None]), BoxSet.full(spark, q), BoxSet.full(spark, q)),
+        TransferOperator(ColumnMap(S.baker, p.domain, grid_points(2, 2)), BoxSet.full(spark, p), BoxSet.full(spark, p)),
+        TransferOperator(ColumnMap(S.logistic, q.domain, np.linspace(-0.99, 0.99, 400)[:, None]), BoxSet.full(spark, q), BoxSet.from_keys(spark, q, range(200, 207))),
+    ):
+        monkeypatch.setattr(spectral, "DENSE_CELLS", 1500)
+        want = t.svds(8)[1]
+        monkeypatch.setattr(spectral, "DENSE_CELLS", 0)
+        left, s, right = t.svds(8)
+        assert s.shape == want.shape and np.allclose(s, want, atol=1e-8)
+        a, b = (t @ right[1]).to_dict(), left[1].to_dict()
+        assert all(abs(a.get(x, 0.0) - s[1] * b.get(x, 0.0)) < 1e-8 for x in {*a, *b})
+
+
+def test_largest_eigenvalues():
+    for d in (1 - np.arange(5000) / 1250, 0.6 ** np.arange(5000.0), np.repeat([1.0, 0.5], 1000), 1 - (np.arange(5000.0) / 5000) ** 1.5, np.ones(30)):
+        d = np.abs(d)
+        got, v = spectral._largest(len(d), lambda x, d=d: d * x, 3)
+        assert np.allclose(got, np.sort(d)[::-1][:3], atol=1e-12) and np.allclose(v.T @ v, np.eye(3), atol=1e-10)
+        assert np.linalg.norm(d[:, None] * v - v * got) < 1e-8
+    with pytest.raises(ArithmeticError):
+        spectral._largest(5000, lambda x: (1 - (np.arange(5000.0) / 5000) ** 1.5) * x, 3, cycles=1)
+
+
 def test_invariant_density(spark):
     q = BoxPartition(Box([0.5], [0.5]), [256])
     g = TransferOperator(ColumnMap(S.logistic, q.domain, np.linspace(-0.99, 0.99, 400)[:, None]), BoxSet.full(spark, q), BoxSet.full(spark, q))
