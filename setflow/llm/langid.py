@@ -6,7 +6,9 @@ Scoring works on blocks of many texts at once: the hashes of a block are the col
 with a row per text, multiplied with the matrix by a gather and a segmented sum. Blocks have at most
 about a million characters, longer texts are cut into pieces whose sums are added, so memory is bounded.
 
-Training may use a bounded sample: at most about ``per_lang`` documents a language, chosen by hash.
+Training uses a sample: about ``per_lang`` documents a language, chosen by a hash of id and text, so that copies under
+other ids are thinned like other documents; rows that agree in both come in or stay out together. The priors are
+the languages' shares among all rows, sampled or not.
 
 Defined results: null texts, empty texts and texts without a letter are ``und`` with score 0, as is everything if
 nothing was learned; null ids count as the empty string for the held-out rule; repeated rows get equal results.
@@ -30,10 +32,10 @@ MATRIX_LIMIT = 1 << 29
 
 
 class Model:
-    """Languages, their log-priors and the log-probability matrix (language, bucket)."""
+    """Languages, their log-priors from the numbers of documents, the log-probability matrix (language, bucket), and how many documents were counted for it."""
 
-    def __init__(self, langs: list[str], docs: np.ndarray, counts: np.ndarray, alpha: float = 0.5):
-        self.langs = langs
+    def __init__(self, langs: list[str], docs: np.ndarray, counts: np.ndarray, alpha: float = 0.5, sampled: np.ndarray | None = None):
+        self.langs, self.sampled = langs, docs if sampled is None else sampled
         self.prior = np.log((docs + 1.0) / (docs.sum() + len(langs)))
         self.logp = np.log((counts + alpha) / (counts.sum(axis=1, keepdims=True) + alpha * counts.shape[1])).astype(np.float32)
 
@@ -110,10 +112,10 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, per_lang: int = 4000, text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, per_lang: int = 4000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Learn from rows with text and language: all of them, or about ``per_lang`` of each language."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if len(langs) << BITS + 2 > MATRIX_LIMIT:
@@ -121,14 +123,14 @@ def train(docs: DataFrame, per_lang: int = 4000, text_col: str = "text", lang_co
     if not langs:
         return Model([], np.zeros(0), np.zeros((0, 1 << BITS)))
     parts = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(min(1.0, per_lang / sizes[lang]) * (1 << 30)))])
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(parts, F.col("lang")))
+    some = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.element_at(parts, F.col("lang"))).select("lang", "text")
     found = some.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    docs_n, counts = np.zeros(len(langs)), np.zeros((len(langs), 1 << BITS))
+    sampled, counts = np.zeros(len(langs)), np.zeros((len(langs), 1 << BITS))
     row = np.array([langs.index(x) for x in found.column("lang").to_pylist()], np.int64)
     bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
-    docs_n[row[bucket < 0]] = n[bucket < 0]
+    sampled[row[bucket < 0]] = n[bucket < 0]
     counts[row[bucket >= 0], bucket[bucket >= 0]] = n[bucket >= 0]
-    return Model(langs, docs_n, counts)
+    return Model(langs, np.array([sizes[x] for x in langs], float), counts, sampled=sampled)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -56,6 +56,13 @@ def test_training_sample_is_bounded(spark):
     assert set(langid.score(model, ["und der nicht", "le et où"])[0]) == {"de", "fr"}
 
 
+def test_training_sample_keeps_priors_and_thins_copies(spark):
+    rows = [(i, "the same text" if i < 1000 else f"the text number {i}", "en") for i in range(3000)] + [(i, f"der Text Nummer {i}", "de") for i in range(3000, 3300)] + [(i, "le texte", "fr") for i in range(4000, 4020)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=100)
+    assert model.langs == ["de", "en", "fr"] and all(60 < n < 140 for n in model.sampled[:2]) and model.sampled[2] == 20
+    assert np.allclose(np.exp(model.prior), (np.array([300, 3000, 20]) + 1) / 3323)
+
+
 def rule(host, path):
     best = None
     for verdict, h, p in urlgbt.RULES:
