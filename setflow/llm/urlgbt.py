@@ -2,8 +2,8 @@
 
 Features of a url: lengths, path depth, digit ratio, entropy, counts of parameters, labels and hyphens, and
 statistics of the host's suffixes (the share of blocked urls among the labelled ones with that suffix, pulled towards
-the overall share). The trees are grown on the driver from a bounded sample of labelled urls, by logistic loss on
-binned features; the model is a few kilobytes of arrays and goes to every task.
+the overall share). The trees are grown on the driver from a sample of distinct labelled urls, each weighing as much as
+it has rows, by logistic loss on binned features; the model is a few kilobytes of arrays and goes to every task.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the
 trees as the empty url; without labelled urls of both kinds the trees allow everything; repeated rows get equal results.
@@ -61,28 +61,38 @@ class Forest:
 
     TREES, DEPTH, RATE, BINS, PULL = 40, 4, 0.2, 32, 20.0
 
-    def __init__(self, urls: list[str], hosts: list[str], blocked: list[bool]):
+    def __init__(self, urls: list[str], hosts: list[str], blocked: list[bool], rows: list[int] | None = None):
+        """``rows``: how many rows each url stands for, one if not given."""
         y = np.array(blocked, float)
-        self.trees, self.base, self.share, self.suffix = [], None, float(y.mean()) if len(y) else 0.0, {}
+        n = np.ones(len(y)) if rows is None else np.array(rows, float)
+        self.trees, self.base, self.share, self.suffix = [], None, float(np.average(y, weights=n)) if len(y) else 0.0, {}
         if not 0 < y.sum() < len(y):
             return
         seen: dict[str, list[float]] = {}
-        for h, b in zip(hosts, y, strict=True):
+        for h, b, c in zip(hosts, y, n, strict=True):
             for s in self._suffixes(h):
-                seen.setdefault(s, [0.0, 0.0])[0] += b
-                seen[s][1] += 1
+                seen.setdefault(s, [0.0, 0.0])[0] += b * c
+                seen[s][1] += c
         self.suffix = {s: (b, n) for s, (b, n) in seen.items()}
         x = self._features(urls, hosts, y)
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.BINS + 1)[1:-1])) for c in x.T]
+        self.edges = [np.unique(self._quantiles(c, n, np.linspace(0, 1, self.BINS + 1)[1:-1])) for c in x.T]
         binned = self._binned(x)
-        self.base = math.log(y.mean() / (1 - y.mean()))
+        self.base = math.log(self.share / (1 - self.share))
         f = np.full(len(y), self.base)
         for _ in range(self.TREES):
             p = 1 / (1 + np.exp(-f))
-            tree = self._grow(binned, y - p, p * (1 - p))
+            tree = self._grow(binned, n * (y - p), n * p * (1 - p))
             self.trees.append(tree)
             f += self._walk(tree, binned)
 
+    @staticmethod
+    def _quantiles(x: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """``np.quantile(np.repeat(x, n), q)`` without the copies."""
+        order = np.argsort(x, kind="stable")
+        upto, at = n[order].cumsum(), q * (n.sum() - 1)
+        low, high = (x[order][np.minimum(np.searchsorted(upto, k, side="right"), len(x) - 1)] for k in (np.floor(at), np.ceil(at)))
+        return low + (high - low) * (at - np.floor(at))
+
     @staticmethod
     def _suffixes(host: str) -> list[str]:
         parts = host.split(".")
@@ -141,11 +151,11 @@ class Forest:
 
 
 def train(labelled: DataFrame, most: int = 20000) -> Forest:
-    """Grow trees from ``labelled(url, host, blocked)``; with more than ``most`` urls, from about as many, chosen by hash."""
-    n = labelled.count()
+    """Grow trees from ``labelled(url, host, blocked)``; with more than ``most`` distinct urls, from about as many with all their rows, chosen by hash."""
+    n = labelled.agg(F.approx_count_distinct("url", 0.01)).first()[0]
     some = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30)))
-    rows = some.select("url", "host", "blocked").orderBy("url", "blocked").limit(2 * most).collect()
-    return Forest([r["url"] for r in rows], [r["host"] for r in rows], [r["blocked"] for r in rows])
+    rows = some.groupBy("url", "host", "blocked").agg(F.count("*").alias("n")).toPandas().sort_values(["url", "host", "blocked"])
+    return Forest(*(rows[c].tolist() for c in ("url", "host", "blocked", "n")))
 
 
 def judge(pages: DataFrame, forest: Forest | None = None, rules=RULES, url_col: str = "url") -> DataFrame:

@@ -77,6 +77,21 @@ URLS = [
 ]
 
 
+def test_url_sample_with_a_frequent_url(spark):
+    hot = spark.range(2000).select(F.format_string("http://a.org/%d", "id").alias("url")).orderBy(F.pmod(F.xxhash64("url"), F.lit(1 << 30))).first()["url"]
+    rows = [(hot, "a.org", False)] * 5000 + [(f"http://z.net/{i}", "z.net", True) for i in range(400)]
+    forest = urlgbt.train(spark.createDataFrame(rows, "url string, host string, blocked boolean"), most=200)
+    assert forest.base is not None and forest.score(["http://z.net/x"], ["z.net"])[0] > 0.5 > forest.score([hot], ["a.org"])[0]
+
+
+def test_weighted_forest_equals_repeated_rows():
+    urls = [f"http://{'ads' if i % 3 else 'b'}.org/{'p/' * (i % 5)}{i}" for i in range(60)]
+    hosts, blocked, n = [u.split("/")[2] for u in urls], [i % 7 < 3 for i in range(60)], [1 + i % 4 for i in range(60)]
+    again = [i for i in range(60) for _ in range(n[i])]
+    a, b = urlgbt.Forest(urls, hosts, blocked, n), urlgbt.Forest([urls[i] for i in again], [hosts[i] for i in again], [blocked[i] for i in again])
+    assert np.allclose(a.score(urls, hosts), b.score(urls, hosts), atol=1e-9)
+
+
 def test_url_rules(spark):
     rows = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, host string")
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
