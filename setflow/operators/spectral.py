@@ -8,6 +8,8 @@ magnitude positive, pairs come sorted by falling magnitude.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from .measure import BoxMeasure, from_arrays
 
 DENSE_CELLS = 1500
 DRIVER_EDGES = 4_000_000
+#: Vectors beyond the wanted ones in distributed block iteration.
+GUARD = 4
 
 
 def _signed(v: np.ndarray) -> np.ndarray:
@@ -80,6 +84,8 @@ def _arnoldi(m: _Matrix, k: int, which: str, size: int, restarts: int = 60, tol:
             break
         v = np.real(vectors).sum(axis=1)
         v /= np.linalg.norm(v)
+    else:
+        warnings.warn(f"eigenvalues did not converge in {restarts} restarts", RuntimeWarning, stacklevel=2)
     return values[pick], vectors
 
 
@@ -124,23 +130,28 @@ def _product(edges: DataFrame, block: DataFrame, names: list[str], source: str,
 
 
 def _iterate(cells: DataFrame, multiply, k: int, rounds: int, tol: float) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """Distributed block iteration: eigenvalues by falling magnitude, their k x k vectors, and the basis these refer to."""
-    names = [f"v{i}" for i in range(k)]
-    start = [F.lit(1.0).alias("v0"), *[(F.pmod(F.xxhash64("key", F.lit(i)), F.lit(1000003)) / F.lit(1000003.0) - F.lit(0.5)).alias(f"v{i}") for i in range(1, k)]]
-    block, last = stored(cells.select("key", *start), "block"), None
+    """Distributed block iteration with guard vectors: up to ``k`` eigenvalues by falling magnitude, their vectors, and the basis these refer to.
+
+    Directions that the matrix takes to zero leave the block. A warning says if ``rounds`` are over before the values settle.
+    """
+    names = [f"v{i}" for i in range(min(k + GUARD, cells.count()))]
+    start = [F.lit(1.0).alias("v0"), *[(F.pmod(F.xxhash64("key", F.lit(i)), F.lit(1000003)) / F.lit(1000003.0) - F.lit(0.5)).alias(f"v{i}") for i in range(1, len(names))]]
+    block, last = stored(cells.select("key", *start), "block"), np.zeros(0)
     for _ in range(rounds):
-        q = _orthonormal(block, names)
+        q, names = _orthonormal(block, names)
         image = stored(multiply(q, names), "block")
         both = q.join(image.select("key", *[F.col(v).alias("a" + v) for v in names]), "key")
         row = both.agg(*[F.sum(F.col(a) * F.col("a" + b)).alias(f"{a}_{b}") for a in names for b in names]).first()
         values, s = np.linalg.eig(np.array([[row[f"{a}_{b}"] for b in names] for a in names]))
-        order = np.argsort(-np.abs(values), kind="stable")
+        order = np.argsort(-np.abs(values), kind="stable")[:k]
         values, s = values[order], s[:, order]
         discard(block)
         block = image
-        if last is not None and np.all(np.abs(values - last) <= tol * np.maximum(np.abs(values), 1e-8)):
+        if len(last) == len(values) and np.all(np.abs(values - last) <= tol * np.maximum(np.abs(values), 1e-8)):
             break
         last = values
+    else:
+        warnings.warn(f"eigenvalues did not converge in {rounds} rounds", RuntimeWarning, stacklevel=3)
     return values, s, q
 
 
@@ -149,29 +160,32 @@ def _combined(q: DataFrame, weights: np.ndarray) -> DataFrame:
     return q.select("key", v.alias("weight"))
 
 
-def subspace_iteration(transfer, k: int = 3, rounds: int = 60, tol: float = 1e-8) -> tuple[np.ndarray, list[BoxMeasure]]:
+def subspace_iteration(transfer, k: int = 3, rounds: int = 1000, tol: float = 1e-8) -> tuple[np.ndarray, list[BoxMeasure]]:
     """Eigenpairs without gathering the matrix: products are joins and sums, only k x k matrices reach the driver."""
     cells = transfer.domain.df
     values, s, q = _iterate(cells, lambda b, names: _product(transfer.edges, b, names, "src", "dst", cells), k, rounds, tol)
-    return values, [BoxMeasure(transfer.domain.partition, _combined(q, s[:, i])) for i in range(k)]
+    return values, [BoxMeasure(transfer.domain.partition, _combined(q, s[:, i])) for i in range(len(values))]
 
 
-def svds_distributed(transfer, k: int = 3, rounds: int = 60, tol: float = 1e-10) -> tuple[list[BoxMeasure], np.ndarray, list[BoxMeasure]]:
+def svds_distributed(transfer, k: int = 3, rounds: int = 1000, tol: float = 1e-10) -> tuple[list[BoxMeasure], np.ndarray, list[BoxMeasure]]:
     """Singular pairs by block iteration on the matrix times its transpose."""
     rows, cols, e = transfer.codomain.df, transfer.domain.df, transfer.edges
     values, s, q = _iterate(cols, lambda b, names: _product(e, _product(e, b, names, "src", "dst", rows), names, "dst", "src", cols), k, rounds, tol)
     sigma = np.sqrt(np.maximum(np.real(values), 0.0))
-    right = [BoxMeasure(transfer.domain.partition, _combined(q, s[:, i])) for i in range(k)]
+    right = [BoxMeasure(transfer.domain.partition, _combined(q, s[:, i])) for i in range(len(values))]
     left = [transfer.push_forward(v) / float(x) if x > 0 else transfer.push_forward(v) for v, x in zip(right, sigma, strict=True)]
     return left, sigma, right
 
 
-def _orthonormal(block: DataFrame, names: list[str]) -> DataFrame:
+def _orthonormal(block: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
     row = block.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in names for b in names]).first()
     gram = np.array([[row[f"{a}_{b}"] for b in names] for a in names])
     d, u = np.linalg.eigh(gram)
-    t = u / np.sqrt(np.maximum(d, 1e-300))
-    return stored(block.select("key", *[sum((F.col(a) * F.lit(float(t[j, i])) for j, a in enumerate(names)), F.lit(0.0)).alias(names[i]) for i in range(len(names))]), "basis")
+    keep = d > 1e-13 * d.max()
+    keep[-1] = True
+    t = u[:, keep] / np.sqrt(np.maximum(d[keep], 1e-300))
+    basis = [sum((F.col(a) * F.lit(float(t[j, i])) for j, a in enumerate(names)), F.lit(0.0)).alias(names[i]) for i in range(t.shape[1])]
+    return stored(block.select("key", *basis), "basis"), names[: t.shape[1]]
 
 
 def _largest(n: int, times, k: int, tol: float = 1e-9, cycles: int = 2000) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from setflow import (
     BatchMap, Box, BoxGraph, BoxPartition, BoxSet, ColumnMap, FlowMap, NonautonomousMap, TransferOperator, alpha_limit_set, finite_time_lyapunov_exponents, ftle_frames, grid_points,
@@ -160,6 +161,16 @@ def test_svds_beyond_dense(spark, monkeypatch):
         assert all(abs(a.get(x, 0.0) - s[1] * b.get(x, 0.0)) < 1e-8 for x in {*a, *b})
 
 
+def test_distributed_eigenvalues_settle_or_warn(spark):
+    edges = spark.createDataFrame([(i, i, w) for i, w in enumerate([1.0, 0.98, 0.97, 0.5, 0.0, 0.0, 0.0, 0.0])], "src long, dst long, weight double")
+    cells = edges.select(F.col("src").alias("key"))
+    times = lambda b, names: spectral._product(edges, b, names, "src", "dst", cells)
+    assert np.allclose(spectral._iterate(cells, times, 2, 60, 1e-8)[0], [1, 0.98], atol=1e-7)
+    assert np.allclose(spectral._iterate(cells, times, 8, 60, 1e-8)[0], [1, 0.98, 0.97, 0.5], atol=1e-7)
+    with pytest.warns(RuntimeWarning, match="did not converge"):
+        spectral._iterate(cells, times, 2, 1, 1e-8)
+
+
 def test_largest_eigenvalues():
     for d in (1 - np.arange(5000) / 1250, 0.6 ** np.arange(5000.0), np.repeat([1.0, 0.5], 1000), 1 - (np.arange(5000.0) / 5000) ** 1.5, np.ones(30)):
         d = np.abs(d)
