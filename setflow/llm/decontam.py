@@ -6,8 +6,10 @@ term. A test phrase is looked up from its rarest term: the postings of that term
 offset, are candidate starts; they are intersected with the shifted lists of the next rarest terms, and
 what is left is compared with the text itself, so that the result is exact.
 
-Defined results: a null or empty text has no words; null ids are ids of their own kind; repeated rows each
-get their row; an empty benchmark hits nothing; benchmark items without words are ignored.
+Defined results: a null or empty text has no words; null document ids are ids of their own kind; an item with a
+null id hits like any other (words, ``contaminated``) but has no name to give, so ``item_ids`` leaves it out and may be
+empty for a contaminated document, as in SQL's count of distinct items; repeated rows each get their row; an empty
+benchmark hits nothing; benchmark items without words are ignored.
 """
 
 from __future__ import annotations

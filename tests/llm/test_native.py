@@ -66,6 +66,13 @@ def test_decontamination(spark):
     assert decontaminated(docs(spark, rows), items.limit(0)) == brute_decontaminate(rows, [])
 
 
+def test_item_without_id_hits_but_has_no_name(spark):
+    items = spark.createDataFrame([(None, "no id here"), (1, "named item")], "item_id long, text string")
+    got = decontaminated(docs(spark, [(1, "x no id here y", "s"), (2, "no id here named item", "s")]), items)
+    assert got == [(1, 5, 3, "", True), (2, 5, 5, "1", True)]
+    assert "null id hits like any other" in decontam.__doc__
+
+
 def test_decontamination_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
     rows = [(i, " ".join(f"w{(i * j) % 13}" for j in range(40)), "s") for i in range(30)]
