@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths written since the innermost open ``scratch`` began; one list per open scope.
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where none is configured (tests)."""
+    """The folder named by spark.checkpoint.dir. Where none is configured: a temporary one if driver and tasks are one process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="setflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -24,13 +32,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _open:
+        _open[-1].append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables that ``stored`` made and that nothing lazy reads any more; other frames are left alone."""
     for df in frames:
         if path := getattr(df, "_stored_at", None):
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete at the end what ``stored`` wrote inside, but for the frames put into the yielded list; those pass to the scope around."""
+    keep: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        made, kept = _open.pop(), {getattr(df, "_stored_at", None) for df in keep}
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
+        if _open:
+            _open[-1] += [path for path in made if path in kept]
