@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import small_batches
+from .common import hold_small_batches
 
 ORDERS, BITS, BLOCK = 3, 16, 1 << 20
 #: Largest size in bytes of the matrix that is sent to the tasks.
@@ -114,7 +114,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, per_lang: int = 4000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Learn from rows with text and language: all of them, or about ``per_lang`` of each language."""
-    small_batches(docs.sparkSession)
+    hold_small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import hold_small_batches, stored
 
 PERMS, ROWS, LOW_BITS = 128, 4, 2
 _rng = np.random.default_rng(20240607)
@@ -186,7 +186,7 @@ def _may_link(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row; linked are documents with 100 |A & B| >= percent |A | B|."""
-    small_batches(docs.sparkSession)
+    hold_small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = stored(own.mapInArrow(_signed(width), "doc_id long, n_shingles long, set_a long, set_b long, sig array<long>, bands array<long>"), "sets")
     some = sets.where("n_shingles > 0 and doc_id is not null")

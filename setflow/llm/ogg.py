@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import hold_small_batches
 
 UNIT, PACKET, RATE = 576, 16 * 576, 8000
 SAMPLES, LENGTH = 1, 2  # serial numbers
@@ -161,7 +161,7 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         yield from _rows(["doc_id", "media"], [pa.int64(), pa.binary()])(rows())
 
-    small_batches(docs.sparkSession)
+    hold_small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, media binary")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import hold_small_batches, stored
 
 #: The usual file of merge ranks; a parameter, read by the driver only.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -61,7 +61,7 @@ def encoder(ranks: dict[bytes, int], pattern: str = PATTERN):
 
 def write_streams(docs: DataFrame, ranks: dict[bytes, int], separator: int = SEPARATOR, block: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stored rows of two kinds: blocks ``(stream, block, tokens)`` of little-endian ids, and the manifest ``(stream, place, doc_id)``."""
-    small_batches(docs.sparkSession)
+    hold_small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     kind = np.dtype("<u2" if separator < 1 << 16 and max(ranks.values(), default=0) < 1 << 16 else "<u4")
 

@@ -317,6 +317,24 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, []))[0].count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_a_second_scan_reads_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(secrets, "BROADCAST_BLOBS", most)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = [(i, SECRET[i % len(SECRET)], "s") for i in range(40)] + [(None, None, "s"), (99, "x " * 20_000 + SECRET[0], "s")]
+    first, ledger = secrets.scan(docs(spark, rows[:30]).repartition(5))
+    n = secrets.read_ledger(spark, ledger).count()
+    assert n == len(SECRET)
+    second, _ = secrets.scan(docs(spark, rows).repartition(3), ledger)
+    files = len(list(Path(ledger.removeprefix("file://")).glob("*.parquet")))
+    assert secrets.read_ledger(spark, ledger).count() == n + 2
+    third, _ = secrets.scan(docs(spark, rows), ledger)
+    assert len(list(Path(ledger.removeprefix("file://")).glob("*.parquet"))) == files
+    got = sorted(((r["path"], r["base"]) for r in third.select("path", secrets.joined(F.col("spans"), secrets.BASE).alias("base")).collect()), key=repr)
+    assert got == sorted(((i, base_spans(t or "")) for i, t, _ in rows), key=repr) and second.count() == len(rows) and first.count() == 30
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_ledger_is_incremental(spark):
     first, ledger = secrets.scan(docs(spark, [(1, SECRET[0], "s"), (2, SECRET[5], "s")]))
     n = secrets.read_ledger(spark, ledger).count()
