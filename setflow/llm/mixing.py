@@ -6,14 +6,21 @@ a document's expected copies are in proportion to its class's preference, again
 sum to the source's target. The whole part of the expected copies is allocated for certain, the rest is an
 inclusion probability p. Documents are ranked by random odds over inclusion odds,
 ``(u / (1 - u)) / (p / (1 - p))``, and the sample is the start of that ranking whose words fit what the whole
-copies leave of the target. Up to three more documents, whose words fill the remaining gap, close it.
-
-The ranking needs no global sort: keys go to 65,536 steps, word counts per step are summed before any
-shuffle, and only the step in which the sample ends is ordered row by row.
-
-``u`` is a hash of the id and a seed, so reruns agree. Rows that agree in id and text are ranked together.
+copies leave of the target. Up to three more documents, whose words fill the remaining gap, close it. So the words
+taken of a source come near its target: they differ from it by less than one document of the source wherever the
+sample ends inside the ranking.
+
+The ranking needs no global sort: keys go to 65,536 steps, word counts per step are summed before any shuffle, and only
+the step in which the sample ends is looked into: first its keys, then, of the one key in which it ends, 65,536 steps of
+the texts' hashes, and at last single texts. Rows that agree in id and text count as one entry with a number, so no task
+orders the rows of a hot id or of a large group of copies.
+
+``u`` is a hash of the id (of the text, where the id is null) and a seed, so reruns agree. The cut may fall between
+rows that agree in id and text: then as many of them are taken as fit. Which ones follows from their places in a stored
+table; they can differ in other columns only.
 Defined results: null texts have size 0; a null source is a source of its own, listed last; sources without
-words have target 0; null ids share one ``u``; columns of the input never clash with those used here.
+words have target 0 and are never taken, as are empty texts of a source beyond its whole copies; very long texts are
+entries like others; an empty table gives none. Input columns named like those added (all start with ``__mix_``) are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import space_words, stored
+from .common import discard, space_words, stored
 
 STEPS = 65536
 #: Names used beside a document's own columns.
@@ -77,18 +84,59 @@ def _expected(rows: DataFrame, weights: list[float], share: float, max_copies: f
 def _keyed(rows: DataFrame, cells: DataFrame, seed: str) -> DataFrame:
     c = cells.select(F.col("source").alias("__mix_s"), F.col("pref").alias("__mix_w"), F.col("source_size").alias("__mix_total"), F.col("target").alias("__mix_target"), F.col("sure").alias("__mix_sure"), F.col("p").alias("__mix_p"))
     rows = rows.join(c, F.col(SRC).eqNullSafe(F.col("__mix_s")) & (F.col(PREF) == F.col("__mix_w"))).drop("__mix_s", "__mix_w")
-    u, p = uniform(F.col(ID), seed), F.col("__mix_p")
+    u, p = uniform(F.coalesce(F.col(ID).cast("string"), F.concat(F.lit("null:"), F.col(TH).cast("string"))), seed), F.col("__mix_p")
     rows = rows.withColumn("__mix_key", F.when(p > 0, (u / (1 - u)) / (p / (1 - p))))
     return rows.withColumn("__mix_step", F.floor(F.col("__mix_key") / (1 + F.col("__mix_key")) * STEPS))
 
 
+#: The ranking: by key, then, within one id, by text.
+PLACE = ["__mix_key", "__mix_slot", TH, ID, SIZE]
+SLOT = f"shiftright({TH}, 48)"
+
+
+def _ending(rows: DataFrame, room: DataFrame, at: str) -> DataFrame:
+    """Per source of ``room(__mix_s, room)``: the value of ``at`` in whose rows the running sum of words passes the room, and what is left of the room before it.
+
+    ``rows`` have ``SRC``, ``at`` and ``n`` rows of ``SIZE`` words each. Sources whose rows all fit are missing.
+    """
+    per = rows.groupBy(SRC, at).agg(F.sum(F.col(SIZE) * F.col("n")).alias("words"))
+    upto = F.sum("words").over(Window.partitionBy(SRC).orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    over = per.withColumn("upto", upto).join(room, F.col(SRC).eqNullSafe(F.col("__mix_s"))).where("upto > room")
+    end = over.groupBy("__mix_s").agg(F.min(F.struct(at, "words", "upto", "room")).alias("e"))
+    return end.select("__mix_s", F.col(f"e.{at}").alias("end"), (F.col("e.room") - F.col("e.upto") + F.col("e.words")).alias("room"))
+
+
+def _cuts(rows: DataFrame, left: DataFrame) -> DataFrame:
+    """Per source whose documents do not all fit: ``__mix_s, __mix_end`` (a step), ``__mix_cut`` (the entry in which the
+    sample ends), ``__mix_some`` of whose ``__mix_n`` rows are in, and the ``gap`` to the target."""
+    one = rows.where("__mix_key is not null").withColumn("n", F.lit(1).cast("long"))
+    ends = stored(_ending(one, left, "__mix_step").withColumnRenamed("end", "__mix_end"), "ends")
+    last = one.join(ends.select(F.col("__mix_s").alias("s"), "__mix_end"), F.col(SRC).eqNullSafe(F.col("s")) & (F.col("__mix_step") == F.col("__mix_end")))
+    last = stored(last.groupBy(SRC, *[c for c in PLACE if c != "__mix_slot"]).agg(F.count("*").alias("n")).withColumn("__mix_slot", F.expr(SLOT)), "last")
+    room = ends.select("__mix_s", "room")
+    inner = last
+    for at in ("__mix_key", "__mix_slot"):
+        found = _ending(inner, room, at)
+        inner = inner.join(found.select(F.col("__mix_s").alias("t"), "end"), F.col(SRC).eqNullSafe(F.col("t")) & (F.col(at) == F.col("end"))).drop("t", "end")
+        room = found.select("__mix_s", "room")
+    # of one key and step of the hashes: entry by entry
+    words = F.sum(F.col(SIZE) * F.col("n")).over(Window.partitionBy(SRC).orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0)) - F.col(SIZE) * F.col("n")
+    entry = inner.withColumn("before", words).join(room, F.col(SRC).eqNullSafe(F.col("__mix_s"))).where(f"before + {SIZE} * n > room and before <= room")
+    cut = entry.groupBy("__mix_s").agg(F.min(F.struct(*PLACE, "n", "before", "room")).alias("e"))
+    cut = cut.select("__mix_s", F.struct(*[F.col(f"e.{c}").alias(c) for c in PLACE]).alias("__mix_cut"), F.expr(f"cast(floor((e.room - e.before) / e.{SIZE}) as long)").alias("__mix_some"), F.col("e.n").alias("__mix_n"), (F.col("e.room") - F.col("e.before")).alias("gap"))
+    cut = cut.withColumn("gap", F.col("gap") - F.col("__mix_some") * F.col(f"__mix_cut.{SIZE}"))
+    out = stored(ends.select(F.col("__mix_s").alias("s"), "__mix_end").join(cut, F.col("s").eqNullSafe(F.col("__mix_s"))).drop("s"), "cuts")
+    discard(ends, last)
+    return out
+
+
 def _with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Add ``__mix_in``: whether a document is in its source's sample."""
+    """Add ``__mix_in``, how many of a document's equal rows are in its source's sample (all: null), and ``__mix_n``, how many there are."""
     rows = rows.join(cuts, F.col(SRC).eqNullSafe(F.col("__mix_s")), "left")
-    place = F.struct(F.col("__mix_key"), F.col(SIZE), F.col(ID), F.col(TH))
-    step, end = F.col("__mix_step"), F.col("__mix_end")
-    inside = F.col("__mix_key").isNotNull() & (end.isNull() | (step < end) | ((step == end) & F.col("__mix_cut").isNotNull() & (place <= F.col("__mix_cut"))))
-    return rows.withColumn("__mix_in", F.coalesce(inside, F.lit(False))).drop("__mix_s", "__mix_end", "__mix_cut")
+    here, cut, step, end = F.struct("__mix_key", F.expr(SLOT).alias("__mix_slot"), TH, ID, SIZE), F.col("__mix_cut"), F.col("__mix_step"), F.col("__mix_end")
+    all_ = end.isNull() | (step < end) | ((step == end) & (here < cut))
+    some = F.when(F.col("__mix_key").isNull(), 0).when(all_, None).when((step == end) & (here == cut), F.col("__mix_some")).otherwise(0)
+    return rows.withColumn("__mix_in", some).drop("__mix_s", "__mix_end", "__mix_cut", "__mix_some")
 
 
 def _kind(rows: DataFrame) -> str:
@@ -101,40 +149,69 @@ def _prepared(docs: DataFrame, prefer, id_col: str, text_col: str, source_col: s
     return rows.withColumn(PREF, prefer(F.col(SIZE)))
 
 
+def _filled_up(sampled: DataFrame, cut: DataFrame, kind: str) -> DataFrame:
+    """``__mix_g, __mix_fill``: per source up to three documents (id, hash, how many equal rows), whose words fill the gap.
+
+    Twice the longest that fits, then the one that comes nearest. Of equal rows one is chosen at most.
+    """
+    filled = cut.select(F.col("__mix_s").alias("__mix_g"), "gap", F.array().cast(f"array<{kind}>").alias("__mix_fill"))
+    old = []
+    for fits in ("over = 0", "over = 0", f"miss < gap and (over = 0 or miss < {SIZE})"):
+        rest = sampled.join(filled, F.col(SRC).eqNullSafe(F.col("__mix_g"))).where(~F.exists("__mix_fill", lambda f: f.eqNullSafe(F.struct(ID, TH))))
+        rest = rest.withColumn("miss", F.abs(F.col(SIZE) - F.col("gap"))).withColumn("over", (F.col(SIZE) > F.col("gap")).cast("int")).where(fits)
+        best = rest.groupBy(F.col("__mix_g").alias("g")).agg(F.min(F.struct("miss", "__mix_key", SIZE, ID, TH)).alias("f"))
+        joined = filled.join(best, F.col("__mix_g").eqNullSafe(F.col("g")), "left")
+        more = F.when(F.col("f").isNotNull(), F.concat("__mix_fill", F.array(F.struct(F.col(f"f.{ID}"), F.col(f"f.{TH}"))))).otherwise(F.col("__mix_fill"))
+        filled = stored(joined.select("__mix_g", (F.col("gap") - F.coalesce(F.col(f"f.{SIZE}"), F.lit(0))).alias("gap"), more.alias("__mix_fill")), "fills")
+        old.append(filled)
+    chosen = filled.select("__mix_g", F.explode_outer("__mix_fill").alias("f"))
+    equal = sampled.select(F.col(SRC).alias("s"), F.struct(ID, TH).alias("id"))
+    n = chosen.join(equal, F.col("__mix_g").eqNullSafe(F.col("s")) & F.col("f").eqNullSafe(F.col("id")), "left").groupBy("__mix_g", "f").agg(F.count("*").alias("n"))
+    out = stored(n.groupBy("__mix_g").agg(F.collect_list(F.struct(F.col("f").alias("id"), "n")).alias("__mix_fill")), "fills")
+    discard(*old)
+    return out
+
+
+def _places_taken(rows: DataFrame) -> DataFrame:
+    """``rows(__mix_want, __mix_place, ...)`` with ``__mix_take``: whether a row is among the first ``__mix_want`` places of its equals.
+
+    Counts per part of the stored table tell in which part the last one taken is; only that part is ordered.
+    """
+    key, part = [SRC, ID, TH], F.expr("shiftright(__mix_place, 33)")
+    counts = rows.groupBy(*key, part.alias("part")).agg(F.count("*").alias("n"), F.max("__mix_want").alias("want"))
+    upto = F.sum("n").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    end = counts.withColumn("upto", upto).where("upto >= want and upto - n < want")
+    end = end.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(key)], "part", (F.col("want") - F.col("upto") + F.col("n")).alias("nth"))
+    same = [F.col(c).eqNullSafe(F.col(f"k{i}")) for i, c in enumerate(key)]
+    there = rows.select(*key, "__mix_place", part.alias("p")).join(end, [*same, F.col("p") == F.col("part")])
+    nth = there.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("__mix_place"))).where("i = nth")
+    last = stored(nth.select("k0", "k1", "k2", F.col("__mix_place").alias("last")), "places")
+    return rows.join(last, same, "left").withColumn("__mix_take", F.col("__mix_place") <= F.col("last")).drop("k0", "k1", "k2", "last")
+
+
 def mix(docs: DataFrame, weights: list[float], share: float, max_copies: float = 2.0, prefer=by_length, seed: str = "mix-1:", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with ``__mix_copies`` (how often the mix takes a document), ``__mix_size``, ``__mix_total`` and ``__mix_target`` (of its source)."""
     full = _prepared(docs, prefer, id_col, text_col, source_col)
     slim = stored(full.select(ID, TH, SRC, SIZE, PREF), "sizes")
     cells = stored(_expected(slim, weights, share, max_copies), "cells")
     rows = _keyed(slim, cells, seed)
-    left = cells.groupBy("source").agg((F.first("target") - F.sum(F.col("sure") * F.col("n"))).alias("left"), F.max("p").alias("p")).where("p > 0").select(F.col("source").alias("__mix_s"), "left")
-    # the step in which each source's sample ends
-    per_step = rows.where("__mix_key is not null").groupBy(SRC, "__mix_step").agg(F.sum(SIZE).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(SRC).orderBy("__mix_step").rowsBetween(Window.unboundedPreceding, 0))
-    steps = per_step.withColumn("upto", upto).join(left, F.col(SRC).eqNullSafe(F.col("__mix_s"))).where("upto > left")
-    ends = steps.groupBy("__mix_s").agg(F.min(F.struct("__mix_step", "n", "upto", "left")).alias("e"))
-    ends = stored(ends.select("__mix_s", F.col("e.__mix_step").alias("__mix_end"), (F.col("e.left") - (F.col("e.upto") - F.col("e.n"))).alias("room")), "ends")
-    # that step, document by document
-    last = rows.join(ends, F.col(SRC).eqNullSafe(F.col("__mix_s")) & (F.col("__mix_step") == F.col("__mix_end")))
-    place = ["__mix_key", SIZE, ID, TH]
-    upto = F.sum(SIZE).over(Window.partitionBy(SRC).orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
-    last = last.withColumn("gap", F.col("room") - upto).withColumn("fit", F.when(F.col("gap") >= 0, F.struct(*place)))
-    cut = last.groupBy("__mix_s", "__mix_end").agg(F.max("fit").alias("__mix_cut"), F.coalesce(F.min(F.when(F.col("gap") >= 0, F.col("gap"))), F.first("room")).alias("gap"))
-    cut = stored(cut, "cuts")
-    # a few more documents, whose words fill the gap: twice the longest that fits, then the one that comes nearest
-    filled = cut.select(F.col("__mix_s").alias("__mix_g"), "gap", F.array().cast(f"array<{_kind(slim)}>").alias("__mix_fill"))
-    sampled = _with_cuts(rows, cut.drop("gap")).where(f"__mix_key is not null and not __mix_in and {SIZE} > 0")
-    for fits in ("over = 0", "over = 0", f"miss < gap and (over = 0 or miss < {SIZE})"):
-        rest = sampled.join(filled, F.col(SRC).eqNullSafe(F.col("__mix_g"))).where(~F.array_contains("__mix_fill", F.struct(ID, TH)))
-        rest = rest.withColumn("miss", F.abs(F.col(SIZE) - F.col("gap"))).withColumn("over", (F.col(SIZE) > F.col("gap")).cast("int")).where(fits)
-        best = rest.groupBy(F.col("__mix_g").alias("g")).agg(F.min(F.struct("miss", *place)).alias("f"))
-        joined = filled.join(best, F.col("__mix_g").eqNullSafe(F.col("g")), "left")
-        more = F.when(F.col("f").isNotNull(), F.concat("__mix_fill", F.array(F.struct(F.col(f"f.{ID}"), F.col(f"f.{TH}"))))).otherwise(F.col("__mix_fill"))
-        filled = stored(joined.select("__mix_g", (F.col("gap") - F.coalesce(F.col(f"f.{SIZE}"), F.lit(0))).alias("gap"), more.alias("__mix_fill")), "fills")
-    rows = _with_cuts(_keyed(full, cells, seed), cut.drop("gap")).join(filled.drop("gap"), F.col(SRC).eqNullSafe(F.col("__mix_g")), "left")
-    filler = F.col("__mix_key").isNotNull() & F.coalesce(F.array_contains("__mix_fill", F.struct(ID, TH)), F.lit(False))
-    taken = F.when(F.col("__mix_in") | filler, 1).otherwise(0)
-    return rows.withColumn("__mix_copies", (F.col("__mix_sure") + taken).cast("long")).drop("__mix_g", "__mix_fill", "__mix_in", "__mix_step", "__mix_key", "__mix_sure", "__mix_p", PREF)
+    left = cells.groupBy("source").agg((F.first("target") - F.sum(F.col("sure") * F.col("n"))).alias("room"), F.max("p").alias("p")).where("p > 0").select(F.col("source").alias("__mix_s"), "room")
+    cut = _cuts(rows, left)
+    sampled = _with_cuts(rows, cut.drop("gap")).where(f"__mix_key is not null and __mix_in = 0 and {SIZE} > 0")
+    filled = _filled_up(sampled, cut, _kind(slim))
+    rows = _with_cuts(_keyed(full, cells, seed), cut.drop("gap")).join(filled, F.col(SRC).eqNullSafe(F.col("__mix_g")), "left")
+    rows = rows.withColumn("__mix_f", F.when(F.col("__mix_key").isNotNull(), F.try_element_at(F.filter("__mix_fill", lambda f: f["id"].eqNullSafe(F.struct(ID, TH))), F.lit(1))))
+    want = F.when(F.col("__mix_f").isNotNull(), F.lit(1).cast("long")).otherwise(F.col("__mix_in"))
+    of = F.coalesce(F.col("__mix_f.n"), F.col("__mix_n"))
+    rows = rows.withColumn("__mix_want", want).withColumn("__mix_part", F.coalesce((want > 0) & (want < of), F.lit(False)))
+    discard(slim)
+    whole = rows.where("not __mix_part").withColumn("__mix_take", F.coalesce(F.col("__mix_want") > 0, F.lit(True)))
+    out = whole
+    if not (cut.where("__mix_some > 0 and __mix_some < __mix_n").isEmpty() and filled.where(F.exists("__mix_fill", lambda f: f["n"] > 1)).isEmpty()):
+        part = stored(rows.where("__mix_part").withColumn("__mix_place", F.monotonically_increasing_id()), "equals")
+        out = whole.unionByName(_places_taken(part).drop("__mix_place"))
+    taken = F.when(F.col("__mix_take"), 1).otherwise(0)
+    return out.withColumn("__mix_copies", (F.col("__mix_sure") + taken).cast("long")).drop("__mix_g", "__mix_fill", "__mix_f", "__mix_in", "__mix_n", "__mix_want", "__mix_part", "__mix_take", "__mix_step", "__mix_key", "__mix_sure", "__mix_p", PREF)
 
 
 def mixed_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -142,6 +142,34 @@ def test_mixing_degenerate(spark):
     assert out.columns == ["doc_id", "text"] and out.count() <= 80
 
 
+@pytest.mark.parametrize("seed", ["1:", "2:", "3:", "4:"])
+def test_mixing_cuts_between_equal_rows(spark, seed):
+    """Half of the rows are copies of one; the words taken stay within a document of the target, and reruns agree."""
+    rows = [(7, "w " * 100, "s")] * 300 + [(i, f"x{i} " * 100, "s") for i in range(1000, 1300)]
+    df = docs(spark, rows).repartition(6)
+    got = mixing.mix(df, [1.0], 0.5, seed=seed).groupBy("doc_id").agg(F.sum("__mix_copies").alias("n"), F.count("*").alias("rows"), F.max("__mix_copies").alias("most")).collect()
+    assert sum(r["rows"] for r in got) == 600 and max(r["most"] for r in got) == 1
+    assert abs(100 * sum(r["n"] for r in got) - 30_000) <= 100
+    again = mixing.mix(docs(spark, rows[::-1]), [1.0], 0.5, seed=seed).groupBy("doc_id").agg(F.sum("__mix_copies").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {r["doc_id"]: r["n"] for r in again}
+
+
+def test_mixing_one_hot_id_and_null_ids(spark):
+    """Equal ids with different texts, null ids, and copies in several sources: each source comes within a document of its target."""
+    rows = [(5, f"t{i} " * (20 + i % 7), "a") for i in range(300)] + [(None, f"n{i} " * 30, "b") for i in range(200)] + [(None, "same " * 30, "b")] * 200 + [(6, "same " * 10, s) for s in ("c", None) for _ in range(150)]
+    got = mixing.mix(docs(spark, rows), [3.0, 1.0, 2.0], 0.7).groupBy("source").agg(F.sum(F.col("__mix_copies") * F.col("__mix_size")).alias("taken"), F.first("__mix_target").alias("target"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in got) == len(rows)
+    assert all(abs(r["taken"] - r["target"]) <= 30 for r in got)
+    split = mixing.mix(docs(spark, rows), [1.0], 0.7).where("doc_id is null").groupBy(F.xxhash64("text")).agg(F.max("__mix_copies").alias("n")).collect()
+    assert {r["n"] for r in split} == {0, 1}
+
+
+def test_mixing_replaces_clashing_columns(spark):
+    df = docs(spark, [(i, "a b c", "s") for i in range(8)]).withColumn("__mix_in", F.lit(9)).withColumn("__mix_copies", F.lit("x"))
+    got = mixed(df)
+    assert "__mix_in" not in got.columns and got.agg(F.sum("__mix_copies")).first()[0] == 12
+
+
 def test_inclusion_follows_the_odds(spark):
     """Over many seeds each document is taken about as often as its expected copies say; short ones half as often."""
     rows = [(i, "w " * (100 if i % 2 else 20), "s") for i in range(60)]
