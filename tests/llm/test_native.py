@@ -296,3 +296,85 @@ def test_licenses_in_their_usual_layout(spark):
     cases += [(GPL_HEADER.replace("You should", "You must"), ""), (APACHE_HEADER.replace("/LICENSE-2.0", "/OTHER"), ""), (APACHE_HEADER + "\n" * 5000 + MIT_FILE, "Apache-2.0,MIT")]
     got = {r["doc_id"]: ",".join(r["licenses"]) for r in licenses.scan(docs(spark, [(i, t, "s") for i, (t, _) in enumerate(cases)])).collect()}
     assert [got[i] for i in range(len(cases))] == [name for _, name in cases]
+
+
+BSD_2 = """Copyright (c) 2021, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".
+"""
+BSD_3 = BSD_2.replace("\nTHIS SOFTWARE", """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE""")
+GPL_2 = GPL_HEADER.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2").replace("\nalong with this program.  If not, see <https://www.gnu.org/licenses/>", """
+along with this program; if not, write to the Free Software Foundation, Inc.,
+51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA""")
+ISC = """Copyright 2020 Jane Doe
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS".
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+LINUX = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation.
+"""
+HEADS = {
+    BSD_2: "BSD-2-Clause", BSD_3: "BSD-3-Clause", BSD_3.replace("the copyright holder nor", "Example, Inc. nor"): "BSD-3-Clause", ISC: "ISC", MPL: "MPL-2.0", LINUX: "GPL-2.0-only", GPL_2: "GPL-2.0-or-later",
+    GPL_HEADER.replace("General", "Affero General"): "AGPL-3.0-or-later", GPL_2.replace("General", "Lesser General").replace("version 2 ", "version 2.1 ").replace("program", "library"): "LGPL-2.1-or-later",
+    GPL_HEADER.replace("General", "Lesser General"): "LGPL-3.0-or-later", APACHE_HEADER.replace("http:", "https:"): "Apache-2.0", BSD_3 + "\n" * 3 + BSD_2: "BSD-2-Clause,BSD-3-Clause",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0", "This is free and unencumbered software released into the public domain.": "Unlicense",
+}
+
+
+def found_licenses(spark, texts):
+    got = {r["doc_id"]: ",".join(r["licenses"]) for r in licenses.scan(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_canonical_notices(spark):
+    ways = [
+        lambda t: t,
+        lambda t: "".join(f"# {x}".rstrip() + "\n" for x in t.splitlines()) + "import os\n",
+        lambda t: "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in t.splitlines()) + " */\nint main;\n",
+        lambda t: "".join(f"// {x}".rstrip() + "\r\n" for x in t.splitlines()),
+        lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n")),
+    ]
+    assert found_licenses(spark, [way(t) for way in ways for t in HEADS]) == list(HEADS.values()) * len(ways)
+    one_cut = BSD_3.replace("notice, this\n   list", "notice, this list").replace("notice,\n   this", "notice, this").replace("documentation\n   and", "documentation and")
+    assert found_licenses(spark, [one_cut]) == ["BSD-3-Clause"]  # by lines two sentences of three would do
+
+
+def test_spdx_expressions(spark):
+    cases = {
+        "// SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */": "GPL-2.0-only",
+        "# SPDX-License-Identifier: (MIT OR Apache-2.0) AND CC-BY-4.0\ncode": "Apache-2.0,CC-BY-4.0,MIT", "spdx-license-identifier:Zlib.": "Zlib", "SPDX-License-Identifier:": "", "an SPDX-License-Identifier is a tag": "",
+    }
+    assert found_licenses(spark, list(cases)) == list(cases.values())
+
+
+def test_callers_sentences_have_their_own_hints(spark):
+    known = ["use this as you like", "my own terms apply"]
+    assert all(any(h in k.split() for h in licenses.hints_of(known)) for k in known) and all(any(h in k.split() for h in licenses.HINTS) for k in licenses.SENTENCES)
+    got = licenses.scan(docs(spark, [(1, "Use this, as you like!", "s"), (2, "My own terms apply.", "s"), (3, None, "s")]), known, [("A", [1]), ("B", [2])]).collect()
+    assert [r["licenses"] for r in sorted(got)] == [["A"], ["B"], []]
+    assert licenses.scan(docs(spark, [(1, MIT, "s")]), [], []).first()["licenses"] == []
