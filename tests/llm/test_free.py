@@ -1,10 +1,12 @@
 """Language ID, URL filter, media, token counts, near duplicates and secrets against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import struct
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -117,6 +119,124 @@ def test_trees_learn_from_labels(spark):
     assert digits.score(["http://h.org/111111111", "http://h.org/aaaaaaaaa"], ["h.org"] * 2).round().tolist() == [1.0, 0.0]
 
 
+def plain_lexical(u, host):
+    u = u or ""
+    rest = u.partition("://")[2][len(host) :]
+    path, _, query = rest.partition("#")[0].partition("?")
+    count = Counter(u)
+    entropy = -sum(c / len(u) * math.log2(c / len(u)) for c in count.values()) if u else 0.0
+    segments = [p for p in path.split("/")[1:] if p]
+    row = [len(u), len(host), len(path), len(segments), sum(c in "0123456789" for c in u) / max(len(u), 1), entropy, query.count("&") + bool(query), host.count(".") + 1 if host else 0]
+    return row, segments[0] if segments else ""
+
+
+@pytest.mark.parametrize("block", [1, 30, urlgbt.BLOCK])
+def test_lexical_features(monkeypatch, block):
+    monkeypatch.setattr(urlgbt, "BLOCK", block)
+    urls = [*URLS, "http://h.org//a///b/c/?x#y?z", "http://h.org/a#b/c", "http://h.org#/q", "x" * 5000, "http://h.org/" + "p/" * 400 + "?" + "&" * 9, "a:/b://c", "://"]
+    hosts = [re.match(r"[^/?#]*", (u or "").partition("://")[2])[0] for u in urls]
+    x, segments = urlgbt.lexical(urls, hosts)
+    want = [plain_lexical(u, h) for u, h in zip(urls, hosts, strict=True)]
+    assert np.allclose(x, [row for row, _ in want]) and segments == [s for _, s in want]
+    assert urlgbt.lexical([], [])[0].shape == (0, 8)
+
+
+def plain_forest(x, y, w, base, trees, depth, rate, bins):
+    """Boosting by the book: each tree grown node by node, each split tried one by one."""
+    cuts = [sorted({float(np.quantile(np.repeat(c, w), q)) for q in np.linspace(0, 1, bins + 1)[1:-1]}) for c in x.T]
+    f = [base] * len(y)
+
+    def grow(rows, d, g, h):
+        if d == depth:
+            return rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1)
+        total = lambda part: sum(g[i] for i in part) ** 2 / (sum(h[i] for i in part) + 1)
+        best = (-math.inf, None)
+        for c in range(x.shape[1]):
+            for cut in [*cuts[c], math.inf]:
+                gain = total([i for i in rows if x[i, c] < cut]) + total([i for i in rows if x[i, c] >= cut])
+                if gain > best[0] + 1e-12:
+                    best = (gain, (c, cut))
+        c, cut = best[1]
+        return c, cut, grow([i for i in rows if x[i, c] < cut], d + 1, g, h), grow([i for i in rows if x[i, c] >= cut], d + 1, g, h)
+
+    def leaf(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] < tree[1] else tree[3]
+        return tree
+
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-v)) for v in f]
+        tree = grow(list(range(len(y))), 0, [k * (b - q) for k, b, q in zip(w, y, p, strict=True)], [k * q * (1 - q) for k, q in zip(w, p, strict=True)])
+        f = [v + leaf(tree, row) for v, row in zip(f, x, strict=True)]
+    return [1 / (1 + math.exp(-v)) for v in f]
+
+
+def test_trees_match_plain_boosting(monkeypatch):
+    monkeypatch.setattr(urlgbt.Forest, "TREES", 4)
+    monkeypatch.setattr(urlgbt.Forest, "BINS", 6)
+    monkeypatch.setattr(urlgbt.Forest, "DEPTH", 2)
+    rng = random.Random(5)
+    urls = [f"http://{'ab'[i % 2]}{rng.randint(1, 9)}.org/{'p/' * rng.randint(0, 4)}{rng.randint(1, 10**rng.randint(1, 8))}" for i in range(40)]
+    hosts, y = [u.split("/")[2] for u in urls], [len(u) % 3 == 0 for u in urls]
+    y = (y + [not b for b in y])[: 2 * len(y)]  # as many of both kinds, so that all rows weigh the same
+    forest = urlgbt.Forest(urls * 2, hosts * 2, y)
+    x, segments = urlgbt.lexical(urls * 2, hosts * 2)
+    rates = []
+    for h, s, b in zip(hosts * 2, segments, y, strict=True):  # shares without the row itself, each pulled towards the wider group's
+        prior, own = 0.5, []
+        for k, group in enumerate([*(".".join(h.split(".")[-m:]) for m in (1, 2, 3)), (h.split(".")[-1], s)]):
+            same = [c for g, t, c in zip(hosts * 2, segments, y, strict=True) if (group == (g.split(".")[-1], t) if k == 3 else group == ".".join(g.split(".")[-k - 1 :]))]
+            prior = (sum(same) - b + 20 * (own[0] if k == 3 else prior)) / (len(same) - 1 + 20)
+            own.append(prior)
+        rates.append(own)
+    x = np.concatenate([x, rates], axis=1)
+    got = 1 / (1 + np.exp(-(forest.base + sum(forest._walk(t, forest._binned(x)) for t in forest.trees))))
+    assert np.allclose(got, plain_forest(x, [float(b) for b in y], np.ones(len(y), int), 0.0, 4, 2, 0.2, 6), atol=1e-9)
+
+
+@pytest.mark.parametrize(
+    ("feature", "bad", "good"),
+    [
+        ("length", "http://h.org/q" + "a" * 60, "http://h.org/q"), ("depth", "http://h.org/a/a/a/a/a/aa", "http://h.org/aaaaaaaaaaaa"), ("digit_ratio", "http://h.org/1212121212", "http://h.org/abababababab"[:23]),
+        ("entropy", "http://h.org/qxzjvkwyfb", "http://h.org/hhhhhhhhhh"), ("parameters", "http://h.org/a?b&b&b&b", "http://h.org/a?bbbbbbb"), ("suffix_1", "http://h.bad/aa", "http://h.org/aa"),
+    ],
+)
+def test_scores_move_with_each_feature(feature, bad, good):
+    urls = [bad, good] * 100
+    forest = urlgbt.Forest(urls, [u.split("/")[2] for u in urls], [True, False] * 100)
+    low, high = forest.score([good, bad], [good.split("/")[2], bad.split("/")[2]])
+    assert low < 0.1 and high > 0.9
+    i = urlgbt.FEATURES.index(feature)
+    x = forest._features([good, bad], [good.split("/")[2], bad.split("/")[2]])
+    assert x[0, i] < x[1, i]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_url_accuracy_on_unseen_hosts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    url = F.col("url")
+    rows = pages.select("url", urlgbt.host_of(url).alias("host"), urlgbt.path_of(url).alias("path"))
+    rows = rows.withColumn("fit", urlgbt.rule_of(F.col("host"), F.col("path"))).where("fit is not null").withColumn("blocked", F.col("fit.verdict") == "block").withColumn("unseen", F.crc32("host") % 3 == 0)
+    forest = urlgbt.train(rows.where("not unseen").select("url", "host", "blocked"))
+    test = rows.where("unseen").toPandas()
+    score = forest.score(test["url"].tolist(), test["host"].tolist())
+    right = np.mean((score > 0.5) == test["blocked"].to_numpy())
+    most = max(test["blocked"].mean(), 1 - test["blocked"].mean())
+    used = forest.used()
+    assert right >= most + 0.15 and right > 0.9, (right, most)
+    assert used["section"] > 0 and used["length"] == 0, used  # these labels follow from the first path segment and the host's suffix
+    hyphen = [(f"http://m.{h}.example.org/{s}/7", f"m.{h}.example.org") for h in ("casino-win", "casinoxwin") for s in ("de", "en", "fr")]
+    verdict = (forest.score([u for u, _ in hyphen], [h for _, h in hyphen]) > 0.5).tolist()
+    assert verdict[:3] == verdict[3:]
+
+
+def test_labelled_urls_of_a_caller(spark):
+    rows = spark.createDataFrame([(i, f"http://{'bad' if i % 4 == 0 else 'good'}.org/{i}", "x") for i in range(80)] + [(80, None, "x")], "page_id long, url string, __host string")
+    labelled = rows.where("page_id < 60").select("url", F.col("url").contains("bad").alias("blocked"), F.lit(1).alias("host"))
+    got = urlgbt.judge(rows, labelled=labelled).collect()
+    assert all((r["__verdict"] == "block") == ("bad" in r["url"]) for r in got if r["url"]) and {r["__rule"] for r in got} == {None}
+
+
 def plain_crc(data):
     c = 0
     for b in data:
