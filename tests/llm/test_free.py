@@ -382,6 +382,58 @@ def test_undecided_members_are_joined_exactly(spark):
     assert got == brute_components(rows, 1, 80)
 
 
+def templated(n, seed, slots=6, values=12, length=60):
+    """Texts of one template with some slots, each with a few values: most pairs share buckets, few are linked."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        w = [f"t{k}" for k in range(length)]
+        for s in range(slots):
+            w[s * (length // slots) + 4] = f"s{s}v{rng.randrange(values)}"
+        out.append((i, " ".join(w), "s"))
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 4, 10**9])
+def test_templates(spark, monkeypatch, few):
+    """Rounds of centres and the exact join alone give the same components."""
+    monkeypatch.setattr(neardup, "FEW", few)
+    rows = templated(150, 1) + [(1000 + i, t, s) for i, t, s in templated(30, 2, 12, 3)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, rows), 2, 80).collect()}
+    assert got == brute_components(rows, 2, 80)
+
+
+def test_listed_pairs_grow_with_the_rows(spark, monkeypatch):
+    """Twice the templated texts, about twice the pairs that the exact join lists."""
+    listed = []
+    real = neardup._may_link
+    monkeypatch.setattr(neardup, "_may_link", lambda rows, percent: (lambda d: listed.append(d.count()) or d)(real(rows, percent)))
+    for n in (400, 800):
+        listed.append(0)
+        assert neardup.near_duplicates(docs(spark, templated(n, 3)), 2, 80).count() == n
+    at = listed.index(0, 1)
+    assert sum(listed[:at]) <= 400 * neardup.FEW * 4 and sum(listed[at:]) <= 800 * neardup.FEW * 4, listed
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "decimal(20,0)"])
+def test_ids_of_other_types(spark, kind):
+    base = " ".join(f"p{k}" for k in range(50))
+    rows = [(f"{i}", base + " x" * (i % 3), "s") for i in (10, 9, 8)] + [("7", "else", "s"), (None, base, "s"), ("9", "other words", "s"), ("9", "else", "s")]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = neardup.near_duplicates(df, 2, 80)
+    assert got.schema["doc_id"].dataType.simpleString() == got.schema["component_id"].dataType.simpleString() == kind
+    found = {(None if r["doc_id"] is None else str(r["doc_id"])): (None if r["component_id"] is None else str(r["component_id"])) for r in got.collect()}
+    least = "10" if kind == "string" else "7"
+    assert found == {"10": least, "9": least, "8": least, "7": least, None: None} and got.count() == len(rows)
+
+
+def test_a_hot_id(spark):
+    """Many rows with one id and different texts, and repeated rows of another."""
+    rows = [(5, f"a{i} b{i} c{i} d{i}", "s") for i in range(120)] + [(3, "x y z " * 9, "s")] * 60 + [(8, "a7 b7 c7 d7", "s"), (4, "a9 b9 c9 d9", "s"), (9, "x y z " * 9, "s")]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, rows), 2, 80).collect()}
+    assert got == brute_components(rows, 2, 80) == {5: 4, 8: 4, 4: 4, 3: 3, 9: 3}
+
+
 def test_rows_that_share_an_id(spark):
     a, b = " ".join(f"p{k}" for k in range(50)), " ".join(f"q{k}" for k in range(50))
     rows = [(7, a, "s"), (7, b, "s"), (8, a + " r", "s"), (5, b + " r", "s"), (9, "else", "s")]
