@@ -80,6 +80,24 @@ def test_decontamination_by_shuffle(spark, monkeypatch):
     assert decontaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")) == brute_decontaminate(rows, items)
 
 
+def test_decontamination_with_a_kept_index(spark):
+    texts = [ITEMS[0][1], "short item", "nothing of it", "lone word", None]
+    df = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    index = decontam.build_index(df)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for _ in range(2):
+        got = decontam.decontaminate(df, items, index=index).select("doc_id", "n_words", "n_hit", F.array_join("item_ids", ","), "contaminated").collect()
+        assert sorted(map(tuple, got), key=repr) == brute_decontaminate([(i, t, "s") for i, t in enumerate(texts)], ITEMS)
+
+
+def test_a_phrase_of_many_items_in_many_documents(spark):
+    phrase = "p q r s t u v w x y"
+    items = [(i, phrase) for i in range(60)] + [(100, phrase + " z")]
+    rows = [(i, f"d{i} {phrase} " * 3, "s") for i in range(50)] + [(99, phrase + " z", "s")]
+    got = decontaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert got == brute_decontaminate(rows, items)
+
+
 def test_proximity(spark):
     texts = ["a x x b", "a x x x b", "b a", "a c b", "b x a c", None]
     index = decontam.build_index(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), None)
