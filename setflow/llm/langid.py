@@ -11,7 +11,11 @@ other ids are thinned like other documents; rows that agree in both come in or s
 the languages' shares among all rows, sampled or not.
 
 Defined results: null texts, empty texts and texts without a letter are ``und`` with score 0, as is everything if
-nothing was learned; null ids count as the empty string for the held-out rule; repeated rows get equal results.
+nothing was learned; null ids count as the empty string for the held-out rule; repeated rows get equal results; of equally
+probable languages the first by code point wins; an empty table trains a model without languages and gets no rows. Input
+columns with the names of the two that are added are replaced, whatever their case; other names can be asked for.
+
+Its result is lazy, so ``identify`` leaves the session's limit on Arrow batches at 4 MB or what it was below.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import hold_small_batches
+from .common import hold_small_batches, small_batches
 
 ORDERS, BITS, BLOCK = 3, 16, 1 << 20
 #: Largest size in bytes of the matrix that is sent to the tasks.
@@ -114,7 +118,6 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, per_lang: int = 4000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Learn from rows with text and language: all of them, or about ``per_lang`` of each language."""
-    hold_small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
@@ -124,7 +127,8 @@ def train(docs: DataFrame, per_lang: int = 4000, text_col: str = "text", lang_co
         return Model([], np.zeros(0), np.zeros((0, 1 << BITS)))
     parts = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(min(1.0, per_lang / sizes[lang]) * (1 << 30)))])
     some = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.element_at(parts, F.col("lang"))).select("lang", "text")
-    found = some.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(docs.sparkSession):
+        found = some.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     sampled, counts = np.zeros(len(langs)), np.zeros((len(langs), 1 << BITS))
     row = np.array([langs.index(x) for x in found.column("lang").to_pylist()], np.int64)
     bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
@@ -133,14 +137,16 @@ def train(docs: DataFrame, per_lang: int = 4000, text_col: str = "text", lang_co
     return Model(langs, np.array([sizes[x] for x in langs], float), counts, sampled=sampled)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__lang`` and ``__lang_score``."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: str = "__lang", score_name: str = "__lang_score") -> DataFrame:
+    """``docs`` with ``__lang`` and ``__lang_score``, or whatever the names given."""
+    hold_small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(lang_name, score_name)
     at = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
             lang, post = score(shared.value, b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(post, pa.float64())], [*b.schema.names, "__lang", "__lang_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(post, pa.float64())], [*b.schema.names, lang_name, score_name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__lang", StringType()), StructField("__lang_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(lang_name, StringType()), StructField(score_name, DoubleType())]))

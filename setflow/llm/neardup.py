@@ -9,7 +9,7 @@
    standard deviations below the threshold) go, the rest is confirmed on the full sets.
 4. Components are found by min-label propagation over stored tables.
 5. A bucket whose members are still in different components may hide links between members that neither is
-   linked to the centre. While an exact join of those members would list more than ``FEW`` pairs per row, further
+   linked to the centre. While an exact join of those members would list more than ``FEW`` pairs per member of any bucket, further
    rounds compare them with other centres (by another hash each round), as long as that finds links: each costs one pair
    per member and bucket, and grows the components, so that few pairs of different components are left.
 6. The rest is joined exactly: shingles are ordered from rare to frequent among the undecided members, two
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import discard, scratch, small_batches, stored
 
 PERMS, ROWS, LOW_BITS = 128, 4, 2
-#: Pairs of different components per row that the exact join may list before another round of centres is tried first.
+#: Pairs of different components that the exact join may list, per member of a bucket, before another round of centres is tried first.
 FEW = 4
 #: Rounds of other centres at most; the exact join decides what they leave.
 ROUNDS = 12
@@ -201,14 +201,14 @@ def _prefixes(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return first
 
 
-def _listed(first: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
-    """``first`` with labels and each token's most frequent label; how many rows; and how many pairs the exact join would list at most."""
+def _listed(first: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """``first`` with labels and each token's most frequent label; and how many pairs the exact join would list at most."""
     rows = first.join(labels, "id")
     by = rows.groupBy("token", "label").agg(F.count("*").alias("k"))
     tokens = by.groupBy("token").agg(F.sum("k").alias("all"), F.max(F.struct("k", "label")).alias("m")).where("all > m.k")
     tokens = stored(tokens.select("token", F.col("m.label").alias("major"), "all", F.col("m.k").alias("k")), "majors")
-    sums = tokens.agg(F.sum("all"), F.sum(F.col("all").cast("double") * (F.col("all") - F.col("k")))).first()
-    return rows.join(tokens.select("token", "major"), "token"), sums[0] or 0, int(sums[1] or 0)
+    pairs = tokens.agg(F.sum(F.col("all").cast("double") * (F.col("all") - F.col("k")))).first()[0]
+    return rows.join(tokens.select("token", "major"), "token"), int(pairs or 0)
 
 
 def _may_link(rows: DataFrame, percent: int) -> DataFrame:
@@ -275,10 +275,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
         undecided = apart()
         if not undecided.isEmpty():
-            first, tried = _prefixes(undecided.select("id").distinct(), texts, width, percent), 0
+            first, tried, enough = _prefixes(undecided.select("id").distinct(), texts, width, percent), 0, FEW * members.count()
             while True:
-                rows, n, most = _listed(first, undecided.select("id", "label").distinct())
-                if most <= FEW * n or tried == ROUNDS:
+                rows, most = _listed(first, undecided.select("id", "label").distinct())
+                if most <= enough or tried == ROUNDS:
                     break
                 tried += 1
                 # other centres: of the bucket's members the first by another hash

@@ -10,7 +10,10 @@ Ogg's checksum has the polynomial of zlib's with bits in the other order and no
 by a table, zlib does the work, and the result is reversed back.
 
 Defined results: a null text is the empty text; its payload is one block of padding. Repeated rows and equal
-texts give equal media. Damaged media raises ``OggError``. Columns of the input do not clash: only id and text are read.
+texts give equal media; a very long text is one payload, held by its task; an empty table gives none. Damaged media raises
+``OggError``. Ids may be of any type. Columns of the input do not clash: only id and text are read.
+
+Results are lazy, so both functions leave the session's limit on Arrow batches at 4 MB or what it was below.
 """
 
 from __future__ import annotations
@@ -116,7 +119,12 @@ def demultiplex(media: bytes) -> dict[int, dict]:
 
 
 def decode(media: bytes) -> tuple[bytes, int, str]:
-    """Payload, its length before padding, and features computed from what was read."""
+    """Payload, its length before padding, and features, all from what was read."""
+    return decode_with_stamps(media)[:3]
+
+
+def decode_with_stamps(media: bytes) -> tuple[bytes, int, str, list[float]]:
+    """Payload, its length before padding, features computed from what was read, and the seconds at the end of every page on which a packet of sound ends."""
     streams = demultiplex(media)
     sound, length = streams[SAMPLES], streams[LENGTH]
     magic, rate, channels, bits = struct.unpack("<4sIBB", sound["packets"][0])
@@ -126,7 +134,7 @@ def decode(media: bytes) -> tuple[bytes, int, str]:
     x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
     crossings = int(np.count_nonzero(np.diff(np.signbit(x))))
     features = f"seconds={sound['granule'] / rate:.3f};streams={len(streams)};pages={sound['pages'] + length['pages']};packets={len(sound['packets'])};stamps={len(sound['times'])};mean={x.mean():.4f};power={(x * x).mean():.4f};peak={int(np.abs(x).max())};crossings={crossings}"
-    return payload, struct.unpack("<4sQ", length["packets"][0])[1], features
+    return payload, struct.unpack("<4sQ", length["packets"][0])[1], features, [g / rate for _, g in sound["times"]]
 
 
 def _rows(schema: list[str], types: list):
@@ -151,31 +159,35 @@ def _rows(schema: list[str], types: list):
 
 def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, media``: each text's bytes in an Ogg container."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        def rows():
-            for b in batches:
+        for b in batches:
+
+            def rows(b=b):
                 for i, t in zip(b.column(0), b.column(1), strict=True):
                     m = encode((t.as_py() or "").encode("utf-8", "surrogatepass"))
                     yield (i.as_py(), m), len(m)
 
-        yield from _rows(["doc_id", "media"], [pa.int64(), pa.binary()])(rows())
+            yield from _rows(["doc_id", "media"], [b.schema.field(0).type, pa.binary()])(rows())
 
     hold_small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, media binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, media binary")
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """``doc_id, media, payload, n_bytes, feature``: what is found in each container, verified."""
+    """``doc_id, media, payload, n_bytes, feature, stamps``: what is found in each container, verified; ``stamps`` are seconds."""
 
     def run(batches):
-        def rows():
-            for b in batches:
+        for b in batches:
+
+            def rows(b=b):
                 for i, m in zip(b.column(0), b.column(1), strict=True):
                     m = m.as_py()
-                    payload, n, feature = decode(m)
-                    yield (i.as_py(), m, payload, n, feature), len(m) + len(payload)
+                    payload, n, feature, stamps = decode_with_stamps(m)
+                    yield (i.as_py(), m, payload, n, feature, stamps), len(m) + len(payload)
 
-        yield from _rows(["doc_id", "media", "payload", "n_bytes", "feature"], [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string()])(rows())
+            yield from _rows(["doc_id", "media", "payload", "n_bytes", "feature", "stamps"], [b.schema.field(0).type, pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.list_(pa.float64())])(rows())
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, media binary, payload binary, n_bytes long, feature string")
+    hold_small_batches(media.sparkSession)
+    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, media binary, payload binary, n_bytes long, feature string, stamps array<double>")

@@ -10,7 +10,10 @@ The 52 bits of the id's hash are followed by 52 bits of a hash of the row's plac
 that share an id (repeated rows, null ids) also split. A document that alone exceeds the limit is split off
 until it is alone in its shard, which is then reported over the limit.
 
-Defined results: null and empty texts have 0 bytes and still belong to a shard; an empty table has no shards.
+Defined results: null and empty texts have 0 bytes and still belong to a shard; ids may be of any type and null, and equal ids
+share the first word of bits; a very long text counts with all its bytes and, if over the limit, ends alone in its shard; a limit
+met exactly does not split; an empty table has no shards. Input columns named like those added
+(``__h0, __h1, __bytes, __depth, __shard``, and ``__place`` while rows of one id are split) are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 BITS = 52
 
@@ -53,18 +56,23 @@ def directory(rows: DataFrame, limit: int, step: int | None = None, words: int =
         p0, p1 = _entry(word, width)
         leaves = stored(open_rows.groupBy(p0.alias("p0"), p1.alias("p1")).agg(F.sum("__bytes").alias("bytes"), F.count("*").alias("n")), "directory")
         own, other = ("p1", "p0") if word else ("p0", "p1")
+        sums = leaves
         up = leaves.withColumn("d", F.explode(F.sequence(F.lit(low), F.lit(width)))).withColumn("a", F.expr(f"shiftrightunsigned({own}, {width} - d)"))
         big = up.groupBy("d", "a", other).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).where(f"bytes > {limit} and n > 1").select("d", "a", other)
         deep = up.join(big, ["d", "a", other]).groupBy("p0", "p1").agg(F.max("d").alias("d"))
         depth = F.coalesce(F.col("d") + 1, F.lit(low)) + BITS * word
         leaves = stored(leaves.join(deep, ["p0", "p1"], "left").select(F.lit(word).alias("word"), F.lit(width).alias("width"), "p0", "p1", depth.cast("int").alias("depth")), "leaves")
+        discard(sums)
         over = leaves.where(f"depth > {last}")
         stuck = not over.isEmpty()
         parts.append(leaves.where(f"depth <= {last}") if stuck and last < end else leaves.withColumn("depth", F.least("depth", F.lit(last))))
         if not stuck or last == end:
             break
         over = over.select("p0", "p1")
+        was = open_rows
         open_rows, done = stored(open_rows.join(over, (p0 == F.col("p0")) & (p1 == F.col("p1")), "left_semi"), "oversized"), last
+        if was is not rows:
+            discard(was)
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
@@ -76,7 +84,9 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
     second = hash_bits(F.col(place_col), "row:") if place_col else F.lit(0).cast("long")
     rows = docs.withColumns({"__h0": hash_bits(F.col(id_col)), "__h1": second, "__bytes": size})
-    table, stuck = directory(stored(rows.select("__h0", "__h1", "__bytes"), "hashes"), limit, step, words=2 if place_col else 1)
+    hashes = stored(rows.select("__h0", "__h1", "__bytes"), "hashes")
+    table, stuck = directory(hashes, limit, step, words=2 if place_col else 1)
+    discard(hashes)
     if stuck and not place_col:  # rows of one id exceed the limit: number them, durably, and split on the number too
         placed = stored(docs.withColumn("__place", F.monotonically_increasing_id()), "placed")
         return shard(placed, limit, id_col, text_col, step, "__place").drop("__place")

@@ -1,28 +1,32 @@
 """Token counts by a separator scan of flat token files.
 
 Writing: each task turns its texts into one endless sequence of token ids, every text followed by the
-end-of-document id, and cuts it into blocks of fixed size without regard to texts. A stream has no index.
+end-of-document id, and cuts it into blocks of fixed size without regard to texts. A stream has no index. The blocks are
+rows of a stored table, which the scan reads as it would read blocks of a file, so that they survive lost executors.
 Scanning: every block is searched for separators in one vectorised comparison. Documents that cross blocks are
-put together by a prefix scan over block summaries: a running sum of separators numbers the documents, a running
-maximum of separator positions gives where each block's first document began.
+put together by a prefix scan over block summaries (separators in the block, place of the last one): a running sum of
+separators numbers the documents, a running maximum of separator positions gives where each block's first document began.
+The separators themselves stay with their block and meet its two numbers by a join on stream and block.
 
-A stream is the output of one task, so blocks of one stream are bounded by a task's input; the prefix scan reads
-one row per block.
+A stream of our own is the output of one task, so its blocks are bounded by a task's input; a stream of any other origin is
+a file of any size, read block by block. The prefix scan orders one short row per block.
 
 Defined results: null and empty texts have 0 tokens; repeated rows each count; a stream whose last document has no
-separator reports it as not closed; an empty table gives no streams and no counts.
+separator reports it as not closed; an empty table gives no streams and no counts; very long texts are encoded in
+pieces and run over as many blocks as they need. Ids may be of any type; only id and text are read, so no name clashes.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hold_small_batches, stored
+from .common import discard, small_batches, stored
 
 #: The usual file of merge ranks; a parameter, read by the driver only.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -61,7 +65,6 @@ def encoder(ranks: dict[bytes, int], pattern: str = PATTERN):
 
 def write_streams(docs: DataFrame, ranks: dict[bytes, int], separator: int = SEPARATOR, block: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stored rows of two kinds: blocks ``(stream, block, tokens)`` of little-endian ids, and the manifest ``(stream, place, doc_id)``."""
-    hold_small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     kind = np.dtype("<u2" if separator < 1 << 16 and max(ranks.values(), default=0) < 1 << 16 else "<u4")
 
@@ -71,14 +74,16 @@ def write_streams(docs: DataFrame, ranks: dict[bytes, int], separator: int = SEP
         stream, ids = TaskContext.get().partitionId(), encoder(shared.value)
         place, number, held = 0, 0, np.empty(0, kind)
 
-        def rows(numbers, blobs, places, names):
+        def rows(numbers, blobs, places, names, id_type):
             n, m = len(numbers), len(places)
             return pa.RecordBatch.from_arrays(
-                [pa.array([stream] * (n + m), pa.int32()), pa.array([*numbers, *[None] * m], pa.int32()), pa.array([*blobs, *[None] * m], pa.binary()), pa.array([*[None] * n, *places], pa.int64()), pa.array([*[None] * n, *names], pa.int64())],
+                [pa.array([stream] * (n + m), pa.int32()), pa.array([*numbers, *[None] * m], pa.int32()), pa.array([*blobs, *[None] * m], pa.binary()), pa.array([*[None] * n, *places], pa.int64()), pa.array([*[None] * n, *names], id_type)],
                 ["stream", "block", "tokens", "place", "doc_id"],
             )
 
+        id_type = pa.int64()
         for b in batches:
+            id_type = b.schema.field(0).type
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 got = [held]
@@ -87,22 +92,46 @@ def write_streams(docs: DataFrame, ranks: dict[bytes, int], separator: int = SEP
                 held = np.concatenate(got)
                 cut = len(held) // block
                 blobs = [held[k * block : (k + 1) * block].tobytes() for k in range(cut)]
-                yield rows(range(number, number + cut), blobs, range(place, place + part.num_rows), part.column(0).to_pylist())
+                yield rows(range(number, number + cut), blobs, range(place, place + part.num_rows), part.column(0).to_pylist(), id_type)
                 held, number, place = held[cut * block :].copy(), number + cut, place + part.num_rows
         if len(held):
-            yield rows([number], [held.tobytes()], [], [])
+            yield rows([number], [held.tobytes()], [], [], id_type)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return stored(rows.mapInArrow(run, "stream int, block int, tokens binary, place long, doc_id long"), "tokens")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    with small_batches(docs.sparkSession):
+        return stored(rows.mapInArrow(run, f"stream int, block int, tokens binary, place long, doc_id {rows.schema['doc_id'].dataType.simpleString()}"), "tokens")
 
 
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks ``(stream, block, tokens)`` of flat token files of any other origin; a stream is a file."""
-    files = spark.read.format("binaryFile").load(path)
-    size = width * block
-    cut = F.explode(F.expr(f"sequence(0, cast((greatest(length, 1) - 1) div {size} as int))"))
-    rows = files.select(F.col("path").alias("stream"), "content", cut.alias("block"))
-    return rows.select("stream", "block", F.expr(f"substring(content, block * {size} + 1, {size})").alias("tokens"))
+    """Blocks ``(stream, block, tokens)`` of flat token files of any other origin; a stream is a file.
+
+    Only names and lengths of the files are listed; each block is read by the task that scans it, at its place in the
+    file, where pyarrow can open the store. Stores that only Spark reads are read file by file, each held by one task.
+    """
+    from pyarrow import fs
+
+    files, size = spark.read.format("binaryFile").load(path), width * block
+    blocks = F.explode(F.expr(f"sequence(0, cast((greatest(length, 1) - 1) div {size} as int))")).alias("block")
+    first = files.select("path").first()
+    if first is None:
+        return spark.createDataFrame([], "stream string, block int, tokens binary")
+    try:
+        fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", first["path"]))[0].get_file_info(fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", first["path"]))[1])
+    except (pa.ArrowException, OSError, ValueError):
+        rows = files.select(F.col("path").alias("stream"), "content", blocks)
+        return rows.select("stream", "block", F.expr(f"substring(content, block * {size} + 1, {size})").alias("tokens"))
+
+    def run(batches):
+        for b in batches:
+            for name, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                store, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with store.open_input_file(at) as f:
+                    f.seek(k * size)
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int32()), pa.array([f.read(size)], pa.binary())], ["stream", "block", "tokens"])
+
+    # dealt anew by block: else one task would read all blocks of the files it listed
+    places = files.select(F.col("path").alias("stream"), blocks).repartition("stream", "block")
+    return places.mapInArrow(run, "stream string, block int, tokens binary")
 
 
 def scan(blocks: DataFrame, separator: int = SEPARATOR, width: int = 2, block: int = BLOCK_TOKENS) -> DataFrame:
@@ -119,14 +148,17 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, width: int = 2, block: i
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ends)]), pa.int32()), pa.array(np.concatenate(ends) if ends else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat, pa.array(sizes, pa.int64())], ["stream", "block", "ends", "size"])
 
-    found = blocks.select("stream", "block", "tokens").mapInArrow(run, f"stream {stream}, block int, ends array<long>, size long")
-    found = found.withColumn("ends", F.transform("ends", lambda e: e + F.col("block").cast("long") * block))
-    before = Window.partitionBy("stream").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("n_before", F.coalesce(F.sum(F.size("ends").cast("long")).over(before), F.lit(0).cast("long")))
-    found = found.withColumn("last", F.coalesce(F.max(F.element_at("ends", F.when(F.size("ends") > 0, -1).otherwise(None))).over(before), F.lit(-1).cast("long")))
-    final = F.lead("block").over(Window.partitionBy("stream").orderBy("block")).isNull()
-    tail = F.col("block").cast("long") * block + F.col("size")
-    found = found.withColumn("open", F.when(final & (F.coalesce(F.element_at("ends", F.when(F.size("ends") > 0, -1).otherwise(None)), F.col("last")) < tail - 1), tail))
+    with small_batches(blocks.sparkSession):
+        found = blocks.select("stream", "block", "tokens").mapInArrow(run, f"stream {stream}, block int, ends array<long>, size long")
+        found = stored(found.withColumn("ends", F.transform("ends", lambda e: e + F.col("block").cast("long") * block)), "ends")
+    order = Window.partitionBy("stream").orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sums = found.select("stream", "block", F.size("ends").cast("long").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("end"), (F.col("block").cast("long") * block + F.col("size")).alias("tail"))
+    sums = sums.withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).withColumn("last", F.coalesce(F.max("end").over(before), F.lit(-1).cast("long")))
+    final = F.lead("block").over(order).isNull()
+    sums = sums.withColumn("open", F.when(final & (F.coalesce("end", "last") < F.col("tail") - 1), F.col("tail")))
+    sums = stored(sums.select(F.col("stream").alias("s"), F.col("block").alias("k"), "n_before", "last", "open"), "sums")
+    found = found.join(sums, (F.col("stream") == F.col("s")) & (F.col("block") == F.col("k")))
     stops = F.concat(F.transform("ends", lambda e: F.struct(e.alias("at"), F.lit(True).alias("closed"))), F.when(F.col("open").isNotNull(), F.array(F.struct(F.col("open").alias("at"), F.lit(False).alias("closed")))).otherwise(F.array().cast("array<struct<at:long,closed:boolean>>")))
     rows = found.select("stream", "n_before", "last", F.col("ends"), F.posexplode(stops).alias("k", "stop"))
     start = F.when(F.col("k") == 0, F.col("last")).otherwise(F.try_element_at("ends", F.col("k")))
@@ -139,4 +171,6 @@ def token_counts(docs: DataFrame, ranks: dict[bytes, int] | None = None, separat
     rows = write_streams(docs, ranks, separator)
     width = 2 if separator < 1 << 16 and max(ranks.values()) < 1 << 16 else 4
     counts = scan(rows.where("tokens is not null"), separator, width)
-    return rows.where("place is not null").select("stream", "place", "doc_id").join(counts, ["stream", "place"]).select("doc_id", "n_tokens")
+    places = stored(rows.where("place is not null").select("stream", "place", "doc_id"), "places")
+    discard(rows)
+    return places.join(counts, ["stream", "place"]).select("doc_id", "n_tokens")
