@@ -54,6 +54,33 @@ def test_stages(spark):
     assert final.count() == mixed.count() and final.columns == [*docs.columns, "n_bytes", "shard"]
 
 
+def odd_documents(spark):
+    """Repeated rows, nulls, one id with two texts, and columns named like those of the operators."""
+    text = "the thing and other words that are here for all of us to read"
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (2, text + " now", "en", "a"), (None, text, "en", None), (None, None, None, None), (5, "", "en", "b"), (6, "quite something else stands here, 12 words or not", "en", "b"), (6, "and this is another text under the same id", "en", "b")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({c: F.lit("x") for c in ("__lang", "__id", "__mix_in", "__h0", "__bytes", "th", "shard", "N_BYTES", "__n", "kept__n")})
+
+
+def test_stages_with_odd_rows(spark):
+    docs = odd_documents(spark)
+    steps = dict(pipe.STAGES)
+    for name, stage in pipe.STAGES:
+        none = stage(spark, docs.limit(0), SF)
+        assert none.count() == 0 and (name == "shard" or none.columns == docs.columns)
+    langs = steps["language_id"](spark, docs, SF)
+    assert langs.columns == docs.columns and langs.count() == 6 and langs.first()["__lang"] == "x"
+    near = steps["near_dedup"](spark, docs, SF)
+    assert near.columns == docs.columns and sorted(((r["doc_id"], r["text"]) for r in near.collect()), key=repr) == sorted({(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] != 2}, key=repr)
+    clean = steps["decontaminate"](spark, docs, SF)
+    assert clean.columns == docs.columns and clean.count() == 8
+    mixed = steps["mix_sources"](spark, docs, SF)
+    assert mixed.columns == docs.columns and mixed.where("__mix_in = 'x'").count() == mixed.count() > 0
+    final = steps["shard"](spark, docs, SF)
+    assert final.columns == [c for c in docs.columns if c not in ("shard", "N_BYTES")] + ["n_bytes", "shard"] and final.count() == 8
+    assert {r["__h0"] for r in final.collect()} == {"x"}
+
+
 def test_run(spark):
     assert [n for n, _ in pipe.STAGES] == ["language_id", "near_dedup", "decontaminate", "mix_sources", "shard"]
     assert pipe.run(spark, SF).count() > 0
