@@ -145,15 +145,36 @@ def from_box_range(spark, sf):
     return BoxSet.from_box(spark, PLANE, Box([0.15625, 0.02], [0.34, 0.26])).df
 
 
-@query(f"WITH c AS ({OC()}) SELECT key, key % 3 = 0 AS odd FROM c WHERE key % 3 = 0")
+@query(f"WITH c AS ({OC()}) SELECT key, key % 3 = 0 AS odd FROM c")
 def boxset_from_frame(spark, sf):
-    keys = order_cells(spark, sf).df.where("key % 3 = 0")
+    keys = order_cells(spark, sf).df
     return BoxSet.from_frame(PLANE, keys.unionByName(keys)).df.withColumn("odd", F.col("key") % 3 == 0)
 
 
 # scalar functions
 
 
+@query("SELECT a * 2 + b AS idx, -0.5::DOUBLE + a * 0.75::DOUBLE AS lo0, 0.25::DOUBLE + a * 0.75::DOUBLE AS hi0, -1::DOUBLE + b * 2::DOUBLE AS lo1, 1::DOUBLE + b * 2::DOUBLE AS hi1 FROM (VALUES (0), (1)) AS s(a), (VALUES (0), (1)) AS t(b)")
+def box_subdivide(spark, sf):
+    """The four quarters of a box."""
+    rows = [(i, *(float(x) for d in range(2) for x in (b.lo[d], b.hi[d]))) for i, b in enumerate(Box([0.25, 1.0], [0.75, 2.0]).subdivide_all())]
+    return spark.createDataFrame(rows, "idx int, lo0 double, hi0 double, lo1 double, hi1 double")
+
+
+@query("SELECT * FROM (VALUES ('and', 0.5::DOUBLE, 1::DOUBLE, -1::DOUBLE, 1::DOUBLE, true), ('or', -1::DOUBLE, 2::DOUBLE, -1::DOUBLE, 3::DOUBLE, true), ('apart', NULL, NULL, NULL, NULL, false)) AS v(what, lo0, hi0, lo1, hi1, meet)")
+def box_algebra(spark, sf):
+    """What two boxes share, the box around both, and two that only touch."""
+    a, b, c = Box([0.0, 0.0], [1.0, 1.0]), Box([1.25, 1.0], [0.75, 2.0]), Box([3.0, 0.0], [2.0, 1.0])
+    rows = [(what, *(float(x) for d in range(2) for x in (box.lo[d], box.hi[d])), a.intersects(b)) for what, box in (("and", a & b), ("or", a | b))]
+    return spark.createDataFrame([*rows, ("apart", None, None, None, None, not a.isdisjoint(c))], "what string, lo0 double, hi0 double, lo1 double, hi1 double, meet boolean")
+
+
+@query(f"WITH c AS ({CC()}) SELECT key, {Q.centers_of(PLANE)[0]} AS c0, {Q.centers_of(PLANE)[1]} AS c1, {Q.num(PLANE.cell_radius[0])} AS r0, {Q.num(PLANE.cell_radius[1])} AS r1 FROM c")
+def boxset_boxes(spark, sf):
+    b = customer_cells(spark, sf).boxes()
+    return b.select("key", *[F.col(c)[d].alias(f"{c[0]}{d}") for c in ("center", "radius") for d in range(2)])
+
+
 @query(f"WITH c AS ({OC()}) SELECT key, {Q.multi_of(PLANE)[0]} AS m0, {Q.multi_of(PLANE)[1]} AS m1, {Q.centers_of(PLANE)[0]} AS x0, {Q.centers_of(PLANE)[1]} AS x1 FROM c")
 def key_to_multi_centers(spark, sf):
     c = order_cells(spark, sf)
@@ -162,8 +183,7 @@ def key_to_multi_centers(spark, sf):
 
 @query(f"WITH c AS ({OC()}) SELECT key, ({Q.multi_of(PLANE)[0]}) * 32 + ({Q.multi_of(PLANE)[1]}) AS again FROM c")
 def multi_to_key(spark, sf):
-    m = PLANE.multi_exprs(F.col("key"))
-    return order_cells(spark, sf).df.select("key", (m[0] * PLANE.strides[0] + m[1]).alias("again"))
+    return order_cells(spark, sf).df.select("key", PLANE.multi_key_expr(PLANE.multi_exprs(F.col("key"))).alias("again"))
 
 
 @query(f"WITH c AS ({OC()}) {Q.children(PLANE, 'c', 1)}")
@@ -179,7 +199,8 @@ def subdivide_all(spark, sf):
 @query(f"SELECT x, y, ((x - 0::DOUBLE) / 1::DOUBLE) AS u, 3::DOUBLE + y * 2::DOUBLE AS v, count(*) AS n FROM {orders_sql()} WHERE {Q.in_domain(PLANE, ['x', 'y'])} GROUP BY ALL")
 def box_predicate_rescale(spark, sf):
     inside = orders(spark, sf).where(PLANE.domain.predicate([F.col("x"), F.col("y")]))
-    return inside.groupBy("x", "y").agg(F.count("*").alias("n")).select("x", "y", ((F.col("x") - 0.0) / 1.0).alias("u"), (F.lit(3.0) + F.col("y") * 2.0).alias("v"), "n")
+    u, v = Box([0.0], [1.0]).normalize_exprs([F.col("x")])[0], Box([3.0], [2.0]).rescale_exprs([F.col("y")])[0]
+    return inside.groupBy("x", "y").agg(F.count("*").alias("n")).select("x", "y", u.alias("u"), v.alias("v"), "n")
 
 
 # set algebra
@@ -264,9 +285,9 @@ _VOL = PLANE.cell_volume
 
 @query(f"WITH a AS ({OM()}) SELECT round(sum(abs(weight)), 6) AS norm1, round(sqrt(sum((weight / {Q.num(_VOL**0.5)}) * (weight / {Q.num(_VOL**0.5)}))), 6) AS norm2, max(weight) AS norm_inf, sum(weight) AS total FROM a")
 def measure_norms(spark, sf):
-    m = order_measure(spark, sf)
-    weight = F.col("weight")
-    return m.df.agg(F.round(F.sum(F.abs(weight)), 6).alias("norm1"), F.round(m.norm_expr(2.0), 6).alias("norm2"), m.norm_expr(float("inf")).alias("norm_inf"), F.sum(weight).alias("total"))
+    m = order_measure(spark, sf).stored()
+    found = {"norm1": m.norm(1.0) * _VOL, "norm2": m.norm(2.0), "norm_inf": m.norm(float("inf")), "total": m.total()}
+    return spark.range(1).select(*[F.round(F.lit(v), 6).alias(k) for k, v in found.items()])
 
 
 @query(f"WITH a AS ({OM()}) SELECT key, round(weight / (SELECT sqrt(sum((weight / {Q.num(_VOL**0.5)}) * (weight / {Q.num(_VOL**0.5)}))) FROM a), 9) AS weight FROM a")
@@ -276,7 +297,7 @@ def measure_normalize(spark, sf):
 
 @query(f"WITH a AS ({OM()}), r AS ({CC()}) SELECT sum(weight) AS mass FROM a WHERE key IN (SELECT key FROM r)")
 def measure_region_mass(spark, sf):
-    return order_measure(spark, sf).df.join(customer_cells(spark, sf).df, "key", "left_semi").agg(F.sum("weight").alias("mass"))
+    return spark.range(1).select(F.lit(order_measure(spark, sf)(customer_cells(spark, sf))).alias("mass"))
 
 
 @query(f"WITH a AS ({OM()}) SELECT round(sum(({Q.centers_of(PLANE)[0]} * {Q.centers_of(PLANE)[0]} + {Q.centers_of(PLANE)[1]}) * weight), 6) AS integral FROM a")
@@ -296,6 +317,28 @@ def density_lookup(spark, sf):
     return order_measure(spark, sf).density(customers(spark, sf), ["x", "y"])
 
 
+@query(f"WITH a AS ({OM()}), t AS (SELECT key, weight FROM a ORDER BY weight DESC, key LIMIT 1) SELECT t.key, t.weight AS at_top, coalesce((SELECT weight FROM a WHERE key = 2047), 0) AS at_last FROM t")
+def measure_getitem(spark, sf):
+    """Weights looked up by key: of the heaviest cell, and of the grid's last cell."""
+    m = order_measure(spark, sf).stored()
+    top = m.df.orderBy(F.desc("weight"), "key").first()["key"]
+    return spark.range(1).select(F.lit(top).cast("long").alias("key"), F.lit(m[top]).alias("at_top"), F.lit(m[2047]).alias("at_last"))
+
+
+@query(f"WITH a AS ({OM()}) SELECT key, CASE WHEN key = (SELECT min(key) FROM a) THEN 0.5::DOUBLE ELSE weight END AS weight FROM a")
+def measure_with_weight(spark, sf):
+    m = order_measure(spark, sf).stored()
+    return m.with_weight(m.df.agg(F.min("key")).first()[0], 0.5).df
+
+
+@query(f"WITH a AS ({OM()}), b AS ({CM()}) SELECT true AS same, NOT EXISTS (FROM (SELECT abs(coalesce(a.weight, 0) - coalesce(b.weight, 0)) AS d, abs(coalesce(b.weight, 0)) AS b FROM a FULL JOIN b USING (key)) WHERE d > 1e-8 + 1e-5 * b) AS other, true AS nearly, false AS doubled")
+def measure_equality(spark, sf):
+    """A measure against itself, another one, and itself times 1 + 1e-7 and 2."""
+    a, b = order_measure(spark, sf).stored(), customer_measure(spark, sf).stored()
+    found = {"same": a.equals(a), "other": a.equals(b), "nearly": a.equals(a * (1 + 1e-7)), "doubled": a.equals(a * 2.0)}
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in found.items()])
+
+
 @query(f"WITH a AS ({OM()}) SELECT key // 32 AS key, sum(weight) AS weight FROM a GROUP BY 1")
 def measure_marginal(spark, sf):
     return order_measure(spark, sf).marginal(1).df
@@ -316,6 +359,15 @@ def image_lozi(spark, sf):
     return LOZI_MAP(order_cells(spark, sf, LOZI)).df
 
 
+IKEDA = grid([2.0, 2.0], [64, 64], [0.5, 0.5])
+IKEDA_MAP = ColumnMap(S.ikeda, IKEDA.domain, lattice(2, -0.93, 0.91, 4))
+
+
+@query(_image_sql(IKEDA, Q.ikeda, lattice(2, -0.93, 0.91, 4), OC(IKEDA)))
+def image_ikeda(spark, sf):
+    return IKEDA_MAP(order_cells(spark, sf, IKEDA)).df
+
+
 @query(_image_sql(HENON, Q.henon, lattice(2, -0.9, 0.9, 4)))
 def image_henon(spark, sf):
     return HENON_MAP(order_cells(spark, sf, HENON)).df
@@ -708,6 +760,11 @@ def plot_relation_measure(spark, sf):
     return plotrel.measure_rectangles(order_measure(spark, sf).stored()).select("key", "value", "shade")
 
 
+@query(f"WITH c AS ({CC()}) SELECT key, i AS corner, {Q.centers_of(PLANE)[0]} + s * {Q.num(PLANE.cell_radius[0])} AS x, {Q.centers_of(PLANE)[1]} + t * {Q.num(PLANE.cell_radius[1])} AS y FROM c, (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) AS k(i, s, t)")
+def plot_quads(spark, sf):
+    return plotrel.quads(customer_cells(spark, sf)).select("key", F.posexplode("corners").alias("corner", "p")).select("key", "corner", "p.x", "p.y")
+
+
 def _corner(c: str, r: float, s: int) -> str:
     return f"{c} + {Q.num(s * r)}"
 

@@ -89,6 +89,11 @@ def henon(x: str, y: str) -> list[str]:
     return [f"({num(1)} - {num(1.4)} * ({x} * {x}) + {y})", f"({num(0.3)} * {x})"]
 
 
+def ikeda(x: str, y: str) -> list[str]:
+    t = f"({num(0.4)} - {num(6)} / ({num(1)} + {x} * {x} + {y} * {y}))"
+    return [f"({num(1)} + {num(0.9)} * ({x} * cos({t}) - {y} * sin({t})))", f"({num(0.9)} * ({x} * sin({t}) + {y} * cos({t})))"]
+
+
 def half_y(x: str, y: str) -> list[str]:
     return [x, f"({y} * {num(0.5)})"]
 
