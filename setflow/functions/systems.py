@@ -65,7 +65,15 @@ def _columns(*parts: np.ndarray) -> np.ndarray:
 
 def four_wing(p: np.ndarray, a: float = 0.2, b: float = -0.01, d: float = -0.4) -> np.ndarray:
     x, y, z = p[:, 0], p[:, 1], p[:, 2]
-    return _columns(a * x + y * z, d * y + b * x - z * y, -z - x * y)
+    out = np.empty((3, len(p)))
+    np.multiply(x, a, out=out[0])
+    out[0] += y * z
+    np.multiply(y, d, out=out[1])
+    out[1] += b * x
+    out[1] -= z * y
+    np.negative(z, out=out[2])
+    out[2] -= x * y
+    return out.T
 
 
 def lorenz(p: np.ndarray, sigma: float = 10.0, rho: float = 28.0, beta: float = 0.4) -> np.ndarray:

@@ -1,12 +1,15 @@
 """Iterative set algorithms: attractors, unstable sets, invariant sets, chain recurrence, Lyapunov exponents.
 
-Every step is one plan over the previous step's stored table; the driver holds the grid's metadata and sees at most a count.
+Every step is one plan over the last step's set; the driver holds the grid's metadata. A set of more than ``LOCAL_CELLS``
+cells is a stored table, a smaller one a list of keys on the driver (8 bytes each), which saves a table per step.
 A batch map's first steps, as long as they have few test points, run in NumPy on the driver: the same code that
 runs in the tasks, without a job per step.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +24,7 @@ from .measure import BoxMeasure
 from .transfer import TransferOperator
 
 #: Steps of a batch map with at most so many test points need no job.
-LOCAL_POINTS = 1 << 19
+LOCAL_POINTS = 1 << 18
 LOCAL_CELLS = 1 << 16
 
 
@@ -44,6 +47,15 @@ def _small(cells: BoxSet, box_map: BoxMap, steps: int) -> tuple[BoxSet, int]:
     return (BoxSet(p, key_frame(cells.df.sparkSession, keys)), steps) if taken else (cells, steps)
 
 
+def _settled(cells: BoxSet, few: bool) -> tuple[BoxSet, int | None]:
+    """A set computed once: where it may have few cells as keys on the driver, with their number, else as a stored table."""
+    if few:
+        first = cells.df.limit(LOCAL_CELLS + 1).toArrow()
+        if first.num_rows <= LOCAL_CELLS:
+            return BoxSet(cells.partition, key_frame(cells.df.sparkSession, first.column("key").to_numpy())), first.num_rows
+    return cells.stored(), None
+
+
 def relative_attractor(box_map: BoxMap, cells: BoxSet, steps: int = 12) -> BoxSet:
     """Refine, then keep the cells that are hit from the set itself; ``steps`` times, even if the set becomes empty."""
     cells, steps = _small(cells, box_map, steps)
@@ -51,26 +63,35 @@ def relative_attractor(box_map: BoxMap, cells: BoxSet, steps: int = 12) -> BoxSe
 
 
 def _refined(cells: BoxSet, steps: int, keep) -> BoxSet:
-    """``steps`` times refine and keep a part; each step's table replaces the one before."""
-    old = None
+    """``steps`` times refine and keep a part; each step's set replaces the one before."""
+    if steps == 0:
+        return cells
+    old, (cells, n) = None, _settled(cells, not hasattr(cells.df, "_stored_at"))
     for _ in range(steps):
-        cells = keep(cells.refine()).stored()
+        cells, n = _settled(keep(cells.refine()), n is not None and 2 * n <= LOCAL_CELLS)
         if old is not None:
             discard(old)
         old = cells.df
     return cells
 
 
+#: Fronts of an unstable set that are kept apart before they become one table.
+FRONTS = 16
+
+
 def unstable_set(box_map: BoxMap, seed: BoxSet, max_iter: int | None = None) -> BoxSet:
     """All cells reached from the seed; each round maps only the cells that the last one added."""
-    reached = front = seed.stored()
-    done = 0
-    while max_iter is None or done < max_iter:
-        front = (box_map.image(front) - reached).stored()
-        if front.is_empty():
+    front, n = _settled(seed, True)
+    parts, done = [front.df], 0
+    while n != 0 and (max_iter is None or done < max_iter):
+        known = BoxSet(seed.partition, reduce(DataFrame.union, parts))
+        front, n = _settled(box_map.image(front) - known, n is not None)
+        if n is None and front.is_empty():
             break
-        reached, done = BoxSet(seed.partition, stored(reached.df.union(front.df), "reached")), done + 1
-    return reached
+        parts, done = [*parts, front.df], done + 1
+        if len(parts) > FRONTS:
+            parts = [stored(reduce(DataFrame.union, parts), "reached")]
+    return BoxSet(seed.partition, reduce(DataFrame.union, parts))
 
 
 def preimage(box_map: BoxMap, cells: BoxSet, among: BoxSet) -> BoxSet:
@@ -90,7 +111,7 @@ def maximal_invariant_set(box_map: BoxMap, cells: BoxSet, steps: int = 12) -> Bo
     def keep(fine: BoxSet) -> BoxSet:
         pairs = stored(box_map.counted(fine).select("src", "dst").join(fine.df.withColumnRenamed("key", "dst"), "dst", "left_semi"), "pairs")
         hit, source = pairs.select(F.col("dst").alias("key")).distinct(), pairs.select(F.col("src").alias("key")).distinct()
-        both = BoxSet(fine.partition, hit.join(source, "key", "left_semi")).stored()
+        both, _ = _settled(BoxSet(fine.partition, hit.join(source, "key", "left_semi")), True)
         discard(pairs)
         return both
 
@@ -107,29 +128,28 @@ def morse_tiles(box_map: BoxMap, cells: BoxSet) -> BoxMeasure:
 
 def recurrent_set(box_map: BoxMap, cells: BoxSet, steps: int = 12) -> BoxSet:
     """Refine, then keep the recurrent cells; an empty set is returned as it is."""
-    cells = cells.stored()
+    cells, n = _settled(cells, True)
     for _ in range(steps):
-        if cells.is_empty():
+        if n == 0 or (n is None and cells.is_empty()):
             break
-        cells = cells.refine()
-        cells = morse_sets(box_map, cells).stored()
+        cells, n = _settled(morse_sets(box_map, cells.refine()), n is not None and 2 * n <= LOCAL_CELLS)
     return cells
 
 
 def finite_time_lyapunov_exponents(box_map: BoxMap, cells: BoxSet, span: float, delta: float | None = None) -> BoxMeasure:
     """``log(largest singular value of the Jacobian at the center) / span``, by forward differences.
 
-    Column maps of one or two dimensions use the closed form of the singular value, others LAPACK on Arrow batches,
-    where the points of a stencil are made in the batch that uses them.
+    Column maps of one or two dimensions use the closed form of the singular value, of more LAPACK on Arrow batches of
+    Jacobians; batch maps make the points of a stencil in the batch that uses them.
     """
     p, n = cells.partition, cells.partition.ndim
     delta = float(np.min(p.cell_radius)) * 0.01 if delta is None else float(delta)
     if isinstance(box_map, ColumnMap):
-        if n > 2:
-            raise ValueError("column maps of more than two dimensions need a batch map here")
         xs = [F.col(f"x{d}") for d in range(n)]
         rows = cells.centers().select("key", *[y.alias(f"f{d}") for d, y in enumerate(box_map.at(xs))], *[y.alias(f"g{i}{d}") for i in range(n) for d, y in enumerate(box_map.at([x + F.lit(delta) if i == k else x for k, x in enumerate(xs)]))])
         j = [[(F.col(f"g{i}{d}") - F.col(f"f{d}")) / F.lit(delta) for i in range(n)] for d in range(n)]
+        if n > 2:
+            return BoxMeasure(p, rows.select("key", F.array(*[x for row in j for x in row]).alias("j")).mapInArrow(_largest_stretch(n, span), "key long, weight double"))
         if n == 1:
             sigma = F.abs(j[0][0])
         else:
@@ -140,6 +160,18 @@ def finite_time_lyapunov_exponents(box_map: BoxMap, cells: BoxSet, span: float,
     return BoxMeasure(p, cells.df.mapInArrow(_ftle(box_map, p, span, delta, False), "key long, weight double"))
 
 
+def _largest_stretch(n: int, span: float):
+    """Batches of (key, Jacobian row by row) to the exponent of the largest singular value."""
+
+    def run(batches):
+        for b in batches:
+            m = np.asarray(b.column(1).flatten()).reshape(-1, n, n)
+            sigma = np.linalg.svd(m, compute_uv=False)[:, 0] if len(m) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.log(np.maximum(sigma, 1e-15)) / span)], ["key", "weight"])
+
+    return run
+
+
 def _ftle(box_map: BatchMap, p: BoxPartition, span: float, delta: float, framed: bool, times=None):
     n = p.ndim
 

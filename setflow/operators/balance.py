@@ -17,7 +17,7 @@ def morton_codes(cells: BoxSet) -> DataFrame:
     return cells.df.select("key", cells.partition.morton_expr(F.col("key")).alias("morton"))
 
 
-def uniform_shards(cells: BoxSet, shards: int, parts: int = 32) -> DataFrame:
+def uniform_shards(cells: BoxSet, shards: int, parts: int | None = None) -> DataFrame:
     """``(key, morton, shard)``: equal counts along the curve; the first shards get one more."""
     rows = running(morton_codes(cells), "morton", F.lit(1).cast("long"), parts)
     at, size, more = F.col("upto") - 1, F.expr(f"total div {shards}"), F.expr(f"total % {shards}")
@@ -26,7 +26,7 @@ def uniform_shards(cells: BoxSet, shards: int, parts: int = 32) -> DataFrame:
     return rows.select("key", "morton", shard.cast("int").alias("shard"))
 
 
-def weighted_shards(cells: BoxSet, weights: DataFrame, shards: int, parts: int = 32) -> DataFrame:
+def weighted_shards(cells: BoxSet, weights: DataFrame, shards: int, parts: int | None = None) -> DataFrame:
     """``(key, morton, weight, shard)``: cuts where the running weight reaches multiples of total / shards.
 
     ``weights(key, weight)``; cells without a weight count 0. If all weights are 0 the split is uniform.

@@ -127,33 +127,25 @@ class BoxSet:
     def repartition(self, new: BoxPartition) -> BoxSet:
         """Cells of another grid whose center lies in a cell of this set, edges widened by 1e-10 of the smaller radius.
 
-        A center is within that margin of at most one neighbour per axis, so its possible cells are found by key
-        arithmetic on ``center - eps`` and ``center + eps`` and met with this set by an equality join. The new grid is
-        generated only around this set's bounds.
+        Every cell of this set makes the few cells of the new grid whose center can lie in it, by key arithmetic per axis,
+        and tests their centers exactly. So the work is in proportion to the two sets, whatever lies between, and the one
+        shuffle makes keys distinct that two neighbours share.
         """
         old, n = self.partition, self.partition.ndim
-        spark = self.df.sparkSession
-        lo, hi = self.bounds_arrays()
-        if not np.all(lo < hi):
-            return BoxSet.empty(spark, new)
-        pad = new.cell_radius * 2
-        around = new.keys_in_box(spark, Box.from_bounds(lo - pad, hi + pad))
         eps = np.minimum(old.cell_radius, new.cell_radius) * 1e-10
-        centers = new.center_exprs(F.col("key"))
-        found = []
+        rows = self.df.select(*[c.alias(f"c{d}") for d, c in enumerate(old.center_exprs(F.col("key")))])
+        tests = []
         for d in range(n):
-            m = [F.floor((centers[d] + F.lit(e) - F.lit(float(old.domain.lo[d]))) / F.lit(float(2.0 * old.cell_radius[d]))) for e in (-3 * float(eps[d]), 3 * float(eps[d]))]
-            found.append(F.array_distinct(F.array(*m)))
-        wide = around.select("key", *[c.alias(f"c{d}") for d, c in enumerate(centers)], *[f.alias(f"a{d}") for d, f in enumerate(found)])
-        for d in range(n):
-            wide = wide.withColumn(f"m{d}", F.explode(f"a{d}")).where(f"m{d} between 0 and {old.dims[d] - 1}").drop(f"a{d}")
-        for d in range(n):  # the exact test
-            c = F.lit(float(old.domain.lo[d])) + F.lit(float(2.0 * old.cell_radius[d])) * (F.col(f"m{d}") + F.lit(0.5))
-            r, e = F.lit(float(old.cell_radius[d])), F.lit(float(eps[d]))
-            wide = wide.where((F.col(f"c{d}") >= c - r - e) & (F.col(f"c{d}") < c + r + e))
-        home = sum((F.col(f"m{d}") * F.lit(s) for d, s in enumerate(old.strides)), F.lit(0).cast("long"))
-        met = wide.select("key", home.alias("old")).join(self.df.withColumnRenamed("key", "old"), "old", "left_semi")
-        return BoxSet(new, met.select("key").distinct())
+            start, width = float(new.domain.lo[d]), float(2.0 * new.cell_radius[d])
+            r, e = float(old.cell_radius[d]), float(eps[d])
+            # indices whose center start + width * (m + 0.5) may lie in [c - r - e, c + r + e); one more on both sides for rounding
+            first, last = (F.floor((F.col(f"c{d}") + F.lit(s * (r + e)) - F.lit(start)) / F.lit(width) - F.lit(0.5)) + F.lit(k) for s, k in ((-1.0, -1), (1.0, 2)))
+            first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(new.dims[d] - 1))
+            rows = rows.withColumn(f"m{d}", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+            center = F.lit(start) + F.lit(width) * (F.col(f"m{d}") + F.lit(0.5))
+            rows = rows.where((center >= F.col(f"c{d}") - F.lit(r) - F.lit(e)) & (center < F.col(f"c{d}") + F.lit(r) + F.lit(e)))
+        key = sum((F.col(f"m{d}") * F.lit(s) for d, s in enumerate(new.strides)), F.lit(0).cast("long"))
+        return BoxSet(new, rows.select(key.alias("key")).distinct())
 
     # algebra
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from ..functions.ode import rk4_tspan
 from .boxset import BoxSet
 
 #: Test points that a batch map evaluates at once: their arrays stay in the cache.
-POINTS_AT_ONCE = 1 << 14
+POINTS_AT_ONCE = 1 << 12
 
 
 def grid_points(ndim: int, n: int | Sequence[int] = 4) -> np.ndarray:
@@ -194,18 +195,21 @@ def box_map(f: Callable, domain: Box, unit_points: np.ndarray, engine: str = "au
         return kinds[engine](f, domain, unit_points)
     if engine != "auto":
         raise ValueError(f"unknown engine {engine!r}: column, batch, python or auto")
+    # a function that does not know a kind of argument says so by one of these errors; any other is its own and is raised
+    unknown = (TypeError, ValueError, AttributeError, IndexError, PySparkException)
     try:
         out = f(*[F.col(f"x{d}") for d in range(domain.ndim)])
-        if len(out) == domain.ndim and all(isinstance(c, Column) for c in out):
+        if isinstance(out, (list, tuple)) and len(out) == domain.ndim and all(isinstance(c, Column) for c in out):
             return ColumnMap(f, domain, unit_points)
-    except Exception:  # whatever a function says about arguments of a kind it does not know
+    except unknown:
         pass
+    probe = np.tile(np.array(domain.center), (3, 1))
     try:
-        probe = np.tile(np.array(domain.center), (3, 1))
-        if np.asarray(f(probe)).shape == probe.shape and np.allclose(f(probe)[0], f(probe[:1])[0], equal_nan=True):
-            return BatchMap(f, domain, unit_points)
-    except Exception:
-        pass
+        whole, one = np.asarray(f(probe), float), np.asarray(f(probe[:1]), float)
+    except unknown:
+        return PointMap(f, domain, unit_points)
+    if whole.shape == probe.shape and np.allclose(whole[:1], one, equal_nan=True):
+        return BatchMap(f, domain, unit_points)
     return PointMap(f, domain, unit_points)
 
 

@@ -48,6 +48,15 @@ class BoxMeasure:
             raise ValueError(f"{len(keys)} cells and {len(weights)} weights")
         return cls.from_dict(cells.df.sparkSession, cells.partition, dict(zip(keys, weights, strict=True)))
 
+    @classmethod
+    def from_weights(cls, cells: BoxSet, weights: DataFrame, key: str = "key", weight: str = "weight") -> BoxMeasure:
+        """Weights of exactly these cells, from a table: a cell without a weight or with several, and a key of no cell, raise when rows are read."""
+        own = weights.groupBy(F.col(key).cast("long").alias("key")).agg(F.count("*").alias("n"), F.first(F.col(weight).cast("double")).alias("weight"))
+        both = cells.df.withColumn("here", F.lit(True)).join(own, "key", "full_outer")
+        wrong = F.when(F.col("here").isNull(), "no cell of the set: ").when(F.col("n").isNull(), "no weight for key ").when(F.col("n") > 1, "several weights for key ")
+        bad = F.raise_error(F.concat(wrong, F.coalesce(F.col("key").cast("string"), F.lit("null")))).cast("double")
+        return cls(cells.partition, both.select("key", F.when(wrong.isNotNull(), bad).otherwise(F.col("weight")).alias("weight")))
+
     @classmethod
     def histogram(cls, partition: BoxPartition, points: DataFrame, cols: Sequence[str | Column], weight: Column | None = None) -> BoxMeasure:
         """Empirical measure of a table: per cell the number of its points, or the sum of a column."""

@@ -50,11 +50,14 @@ def measure_rectangles(mu: BoxMeasure, axes: Sequence[int] = (0, 1), absolute: b
     return rectangles(BoxSet(mu.partition, mu.df), axes).join(shaded.select("key", "value", "shade"), "key")
 
 
+def _labels(tiles: BoxMeasure, colours: int) -> DataFrame:
+    label = F.col("weight").cast("long")
+    return tiles.df.select("key", label.alias("label"), F.pmod(label - 1, F.lit(colours).cast("long")).alias("colour"))
+
+
 def tile_rectangles(tiles: BoxMeasure, axes: Sequence[int] = (0, 1), colours: int = 20) -> DataFrame:
     """``key, x, y, w, h, label, colour``: labels 1, 2, ... and colours in turn."""
-    label = F.col("weight").cast("long")
-    named = tiles.df.select("key", label.alias("label"), F.pmod(label - 1, F.lit(colours).cast("long")).alias("colour"))
-    return rectangles(BoxSet(tiles.partition, tiles.df), axes).join(named, "key")
+    return rectangles(BoxSet(tiles.partition, tiles.df), axes).join(_labels(tiles, colours), "key")
 
 
 def hexahedra(cells: BoxSet, axes: Sequence[int] = (0, 1, 2)) -> DataFrame:
@@ -65,6 +68,17 @@ def hexahedra(cells: BoxSet, axes: Sequence[int] = (0, 1, 2)) -> DataFrame:
     return cells.df.select("key", F.posexplode(corners).alias("corner", "p")).select("key", "corner", "p.x", "p.y", "p.z")
 
 
+def measure_hexahedra(mu: BoxMeasure, axes: Sequence[int] = (0, 1, 2), absolute: bool = False) -> DataFrame:
+    """``key, corner, x, y, z, value, shade``: shade is the value scaled to 0..1 over the measure."""
+    shaded = _shade(F.col("weight"), absolute, mu.df)
+    return hexahedra(BoxSet(mu.partition, mu.df), axes).join(shaded.select("key", "value", "shade"), "key")
+
+
+def tile_hexahedra(tiles: BoxMeasure, axes: Sequence[int] = (0, 1, 2), colours: int = 20) -> DataFrame:
+    """``key, corner, x, y, z, label, colour``: labels 1, 2, ... and colours in turn."""
+    return hexahedra(BoxSet(tiles.partition, tiles.df), axes).join(_labels(tiles, colours), "key")
+
+
 def hex_connectivity(cells: BoxSet) -> DataFrame:
     """``key, cell, vertices``: cells numbered in key order, each with the numbers of its eight corners."""
     rows = numbered(cells.df, "key", "cell")

@@ -58,11 +58,11 @@ def _order(values: np.ndarray, which: str) -> np.ndarray:
     return np.argsort(key[which], kind="stable")
 
 
-def _arnoldi(m: _Matrix, k: int, which: str, size: int, restarts: int = 60, tol: float = 1e-10):
-    """Explicitly restarted Arnoldi from the vector of ones."""
+def _arnoldi(m: _Matrix, k: int, which: str, size: int, v0: np.ndarray | None = None, restarts: int = 60, tol: float = 1e-10):
+    """Explicitly restarted Arnoldi from a given vector, or from the vector of ones."""
     n = len(m.cols)
     size = min(n, max(size, 2 * k + 20))
-    v = np.ones(n) / np.sqrt(n)
+    v = np.ones(n) / np.sqrt(n) if v0 is None else v0 / np.linalg.norm(v0)
     for _ in range(restarts):
         q, h = np.zeros((n, size + 1)), np.zeros((size + 1, size))
         q[:, 0] = v
@@ -89,11 +89,17 @@ def _arnoldi(m: _Matrix, k: int, which: str, size: int, restarts: int = 60, tol:
     return values[pick], vectors
 
 
-def eigs(transfer, k: int = 3, which: str = "LM") -> tuple[np.ndarray, list[BoxMeasure]]:
-    """Up to ``k`` eigenvalues (complex) and eigenvectors as measures on the domain."""
+def eigs(transfer, k: int = 3, which: str = "LM", v0: BoxMeasure | None = None, tol: float | None = None) -> tuple[np.ndarray, list[BoxMeasure]]:
+    """Up to ``k`` eigenvalues (complex) and eigenvectors as measures on the domain.
+
+    ``v0``: where iterations start, not 0 on the domain; ones if not given. ``tol``: relative change or residual at which they end.
+    Dense matrices are solved in one go and need neither.
+    """
     if transfer.domain.partition != transfer.codomain.partition:
         raise ValueError("eigenvalues need domain and codomain on one grid")
     _order(np.zeros(1), which)
+    if v0 is not None and v0.partition != transfer.domain.partition:
+        raise ValueError("the first vector is on another grid")
     spark, p = transfer.edges.sparkSession, transfer.domain.partition
     keys = transfer.domain.df.limit(DRIVER_EDGES + 1).toArrow().column("key").to_numpy()
     if len(keys) <= DRIVER_EDGES:
@@ -111,11 +117,18 @@ def eigs(transfer, k: int = 3, which: str = "LM") -> tuple[np.ndarray, list[BoxM
                 pick = _order(values, which)[:k]
                 values, vectors = values[pick], vectors[:, pick]
             else:
-                values, vectors = _arnoldi(m, k, which, 40)
+                first = None
+                if v0 is not None:
+                    given = v0.df.join(transfer.domain.df, "key", "left_semi").toArrow()
+                    first = np.zeros(len(keys))
+                    first[np.searchsorted(keys, given.column("key").to_numpy())] = given.column("weight").to_numpy()
+                    if not np.any(first):
+                        raise ValueError("the first vector is 0 on the domain")
+                values, vectors = _arnoldi(m, k, which, 40, first, **({} if tol is None else {"tol": tol}))
             return values, [from_arrays(spark, p, keys, _signed(vectors[:, i])) for i in range(len(values))]
     if which != "LM":
         raise ValueError("matrices beyond the driver give eigenvalues of largest magnitude only")
-    return subspace_iteration(transfer, k)
+    return subspace_iteration(transfer, k, v0=v0, **({} if tol is None else {"tol": tol}))
 
 
 class _Edges:
@@ -129,13 +142,16 @@ def _product(edges: DataFrame, block: DataFrame, names: list[str], source: str,
     return cells.join(image, "key", "left").select("key", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in names])
 
 
-def _iterate(cells: DataFrame, multiply, k: int, rounds: int, tol: float) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+def _iterate(cells: DataFrame, multiply, k: int, rounds: int, tol: float, v0: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, DataFrame]:
     """Distributed block iteration with guard vectors: up to ``k`` eigenvalues by falling magnitude, their vectors, and the basis these refer to.
 
     Directions that the matrix takes to zero leave the block. A warning says if ``rounds`` are over before the values settle.
     """
     names = [f"v{i}" for i in range(min(k + GUARD, cells.count()))]
-    start = [F.lit(1.0).alias("v0"), *[(F.pmod(F.xxhash64("key", F.lit(i)), F.lit(1000003)) / F.lit(1000003.0) - F.lit(0.5)).alias(f"v{i}") for i in range(1, len(names))]]
+    first = F.lit(1.0)
+    if v0 is not None:
+        cells, first = cells.join(v0.select("key", F.col("weight").alias("given")), "key", "left"), F.coalesce("given", F.lit(0.0))
+    start = [first.alias("v0"), *[(F.pmod(F.xxhash64("key", F.lit(i)), F.lit(1000003)) / F.lit(1000003.0) - F.lit(0.5)).alias(f"v{i}") for i in range(1, len(names))]]
     block, last = stored(cells.select("key", *start), "block"), np.zeros(0)
     for _ in range(rounds):
         q, names = _orthonormal(block, names)
@@ -160,10 +176,10 @@ def _combined(q: DataFrame, weights: np.ndarray) -> DataFrame:
     return q.select("key", v.alias("weight"))
 
 
-def subspace_iteration(transfer, k: int = 3, rounds: int = 1000, tol: float = 1e-8) -> tuple[np.ndarray, list[BoxMeasure]]:
+def subspace_iteration(transfer, k: int = 3, rounds: int = 1000, tol: float = 1e-8, v0: BoxMeasure | None = None) -> tuple[np.ndarray, list[BoxMeasure]]:
     """Eigenpairs without gathering the matrix: products are joins and sums, only k x k matrices reach the driver."""
     cells = transfer.domain.df
-    values, s, q = _iterate(cells, lambda b, names: _product(transfer.edges, b, names, "src", "dst", cells), k, rounds, tol)
+    values, s, q = _iterate(cells, lambda b, names: _product(transfer.edges, b, names, "src", "dst", cells), k, rounds, tol, None if v0 is None else v0.df)
     return values, [BoxMeasure(transfer.domain.partition, _combined(q, s[:, i])) for i in range(len(values))]
 
 

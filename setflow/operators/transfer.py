@@ -16,10 +16,10 @@ from .maps import BoxMap
 from .measure import BoxMeasure
 
 
-def normalised(counts: DataFrame) -> DataFrame:
-    """``(src, dst, hits)`` with ``weight``."""
-    total = F.sum("hits").over(Window.partitionBy("src"))
-    return counts.select("src", "dst", "hits", (F.col("hits") / total).alias("weight"))
+def normalised(counts: DataFrame, by: tuple[str, ...] = ("src",)) -> DataFrame:
+    """``counts(..., src, dst, hits)`` with ``weight``: hits over all hits of the rows that agree in ``by``."""
+    total = F.sum("hits").over(Window.partitionBy(*by))
+    return counts.withColumn("weight", F.col("hits") / total)
 
 
 class TransferOperator:
@@ -75,10 +75,10 @@ class TransferOperator:
         n = self.edges.groupBy(F.col("src").alias("key")).agg(F.sum("hits").alias("n"))
         return self.domain.df.join(n, "key", "left").select("key", F.coalesce("n", F.lit(0).cast("long")).alias("weight"))
 
-    def eigs(self, k: int = 3, which: str = "LM"):
+    def eigs(self, k: int = 3, which: str = "LM", v0: BoxMeasure | None = None, tol: float | None = None):
         from .spectral import eigs
 
-        return eigs(self, k, which)
+        return eigs(self, k, which, v0, tol)
 
     def svds(self, k: int = 3):
         from .spectral import svds
@@ -87,3 +87,29 @@ class TransferOperator:
 
     def __repr__(self) -> str:
         return f"TransferOperator({self.map!r}, domain={self.domain!r})"
+
+
+class FramedTransfer:
+    """Transfer operators of a nonautonomous map, one per start time, as one relation ``(frame, src, dst, hits, weight)``."""
+
+    def __init__(self, box_map, domain: BoxSet, times, codomain: BoxSet | None = None, keep: bool = True):
+        """Hits outside ``codomain``, where one is given, do not count."""
+        self.map, self.domain, self.times = box_map, domain, list(times)
+        counts = box_map.frames(domain, self.times, (codomain or domain).partition)
+        if codomain is not None:
+            counts = counts.join(codomain.df.withColumnRenamed("key", "dst"), "dst", "left_semi").select("frame", "src", "dst", "hits")
+        self.codomain = codomain
+        edges = normalised(counts, ("frame", "src"))
+        self.edges = stored(edges, "edges") if keep else edges
+
+    def push_forward(self, measures: DataFrame) -> DataFrame:
+        """``measures(frame, key, weight)`` moved each by its frame's operator."""
+        m = measures.select("frame", F.col("key").alias("src"), F.col("weight").alias("m"))
+        out = self.edges.join(m, ["frame", "src"]).groupBy("frame", F.col("dst").alias("key")).agg(F.sum(F.col("weight") * F.col("m")).alias("weight"))
+        return out.where("weight != 0")
+
+    def at(self, frame: int) -> TransferOperator:
+        """One frame's operator, with its spectrum and all."""
+        own = self.edges.where(F.col("frame") == frame)
+        codomain = self.codomain or BoxSet(self.domain.partition, own.select(F.col("dst").alias("key")).distinct())
+        return TransferOperator.from_edges(own.select("src", "dst", "hits"), self.domain, codomain)

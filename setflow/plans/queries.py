@@ -22,7 +22,7 @@ from ..operators.boxset import BoxSet
 from ..operators.graph import BoxGraph
 from ..operators.maps import BatchMap, ColumnMap, NonautonomousMap, grid_points, lattice, monte_carlo_points
 from ..operators.measure import BoxMeasure
-from ..operators.transfer import TransferOperator
+from ..operators.transfer import FramedTransfer, TransferOperator
 from ..sources.tables import table, transitions
 from . import sqltext as Q
 
@@ -331,6 +331,13 @@ def measure_with_weight(spark, sf):
     return m.with_weight(m.df.agg(F.min("key")).first()[0], 0.5).df
 
 
+@query(f"WITH a AS ({OM()}) SELECT key, weight / 2 AS weight FROM a")
+def measure_from_weights(spark, sf):
+    """Weights from a table, one for each cell of a set."""
+    m = order_measure(spark, sf).stored()
+    return BoxMeasure.from_weights(m.support(), m.df.select(F.col("key").cast("string").alias("cell"), (F.col("weight") / 2).alias("w")), "cell", "w").df
+
+
 @query(f"WITH a AS ({OM()}), b AS ({CM()}) SELECT true AS same, NOT EXISTS (FROM (SELECT abs(coalesce(a.weight, 0) - coalesce(b.weight, 0)) AS d, abs(coalesce(b.weight, 0)) AS b FROM a FULL JOIN b USING (key)) WHERE d > 1e-8 + 1e-5 * b) AS other, true AS nearly, false AS doubled")
 def measure_equality(spark, sf):
     """A measure against itself, another one, and itself times 1 + 1e-7 and 2."""
@@ -626,17 +633,19 @@ def recurrent_lozi_6(spark, sf):
 # spectra: properties are tested, SQL has no eigensolver
 
 
-@query()
+@query("SELECT * FROM (VALUES (0, true, false), (1, false, true), (2, false, true)) AS v(idx, one, vanishes)")
 def eigs_baker(spark, sf):
+    """The baker's map has the eigenvalue 1; all others are 0, as a defective matrix shows them: under a tenth."""
     cells = BoxSet.full(spark, BAKER)
     values, _ = TransferOperator(ColumnMap(S.baker, BAKER.domain, grid_points(2, 2)), cells, cells).eigs(3)
-    return spark.createDataFrame([(i, float(v.real), float(v.imag)) for i, v in enumerate(values)], "idx int, re double, im double")
+    return spark.createDataFrame([(i, bool(abs(v - 1) < 1e-9), bool(abs(v) < 0.1)) for i, v in enumerate(values)], "idx int, one boolean, vanishes boolean")
 
 
-@query()
+@query("SELECT CAST(range AS INTEGER) AS idx, 1::DOUBLE AS sigma FROM range(3)")
 def svds_shift(spark, sf):
+    """A permutation's singular values are 1."""
     _, s, _ = _shift(spark).svds(3)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(s)], "idx int, sigma double")
+    return spark.createDataFrame([(i, round(float(v), 9)) for i, v in enumerate(s)], "idx int, sigma double")
 
 
 GYRE = grid([1.0, 0.5], [32, 16], [1.0, 0.5])
@@ -690,18 +699,60 @@ def ftle_doubling(spark, sf):
     return m.df.select("key", F.round("weight", 9).alias("weight"))
 
 
-@query()
+CUBE = grid([1.0] * 3, [4, 2, 3])
+
+
+@query("SELECT range AS key, round(ln(3.0) / 2, 9) AS weight FROM range(24)")
+def ftle_cube(spark, sf):
+    """A linear map of three dimensions stretches by its largest factor everywhere."""
+    f = ColumnMap(lambda x, y, z: [F.lit(3.0) * y, F.lit(-2.0) * x, F.lit(0.5) * z], CUBE.domain, np.zeros((1, 3)))
+    return A.finite_time_lyapunov_exponents(f, BoxSet.full(spark, CUBE), 2.0).df.select("key", F.round("weight", 9).alias("weight"))
+
+
+def _frames(p: BoxPartition, frames: int, units: np.ndarray) -> str:
+    """Test points of all cells of a grid at the starts of all frames: ``frame, src, x0, x1, t``."""
+    x = ", ".join(f"{c} + u{d} * {Q.num(r)} AS x{d}" for d, (c, r) in enumerate(zip(Q.centers_of(p), p.cell_radius, strict=True)))
+    return f"(SELECT f.range AS frame, c.key AS src, {x}, f.range / {Q.num(frames)} AS t FROM (SELECT range AS key FROM range({p.size})) AS c, range({frames}) AS f, {Q.units(units)}) AS pts"
+
+
+_E = float(min(GYRE.cell_radius)) * 0.01
+
+
+def _ftle_frames_sql(frames: int, span: float, steps: int) -> str:
+    c = Q.centers_of(GYRE)
+    points = f"(SELECT f.range AS frame, key, i, {c[0]} + a * {Q.num(_E)} AS x0, {c[1]} + b * {Q.num(_E)} AS x1, f.range / {Q.num(frames)} AS t FROM (SELECT range AS key FROM range({GYRE.size})) AS c, range({frames}) AS f, (VALUES (0, 0, 0), (1, 1, 0), (2, 0, 1)) AS s(i, a, b)) AS pts"
+    flow = Q.rk4(points, ["frame", "key", "i"], ["x0", "x1"], "t", Q.double_gyre, span, steps)
+    d = lambda i, j: f"((g{i}.x{j} - g0.x{j}) / {Q.num(_E)})"
+    jac = f"SELECT g0.frame, g0.key, {d(1, 0)} AS a, {d(2, 0)} AS b, {d(1, 1)} AS c, {d(2, 1)} AS d FROM y AS g0 JOIN y AS g1 USING (frame, key) JOIN y AS g2 USING (frame, key) WHERE g0.i = 0 AND g1.i = 1 AND g2.i = 2"
+    return f"WITH y AS MATERIALIZED ({flow}), j AS ({jac}), s AS (SELECT *, a*a + b*b + c*c + d*d AS s, a*d - b*c AS det FROM j) SELECT CAST(frame AS INTEGER) AS frame, key, round(ln(greatest(sqrt((s + sqrt(greatest(s*s - 4*det*det, 0))) / 2), 1e-15)) / {Q.num(span)}, 6) AS weight FROM s"
+
+
+@query(_ftle_frames_sql(6, 2.0, 20))
 def ftle_double_gyre_frames(spark, sf):
     f = NonautonomousMap(S.double_gyre, GYRE.domain, np.zeros((1, 2)), 0.0, 2.0, 0.1)
-    return A.ftle_frames(f, BoxSet.full(spark, GYRE), 2.0, np.arange(6) / 6)
+    return A.ftle_frames(f, BoxSet.full(spark, GYRE), 2.0, np.arange(6) / 6).withColumn("weight", F.round("weight", 6))
 
 
-@query()
+_GYRE4 = lattice(2, -0.9, 0.9, 2)
+_GYRE_HITS = f"SELECT CAST(frame AS INTEGER) AS frame, src, {Q.key_of(GYRE, ['x0', 'x1'])} AS dst, count(*) AS hits FROM ({Q.rk4(_frames(GYRE, 4, _GYRE4), ['frame', 'src'], ['x0', 'x1'], 't', Q.double_gyre, 1.0, 10)}) AS y WHERE {Q.in_domain(GYRE, ['x0', 'x1'])} GROUP BY ALL"
+
+
+@query(_GYRE_HITS)
 def double_gyre_frames(spark, sf):
-    f = NonautonomousMap(S.double_gyre, GYRE.domain, lattice(2, -0.9, 0.9, 2), 0.0, 1.0, 0.1)
+    f = NonautonomousMap(S.double_gyre, GYRE.domain, _GYRE4, 0.0, 1.0, 0.1)
     return f.frames(BoxSet.full(spark, GYRE), np.arange(4) / 4)
 
 
+@query(f"WITH e AS ({_GYRE_HITS}), w AS (SELECT *, hits / CAST(sum(hits) OVER (PARTITION BY frame, src) AS DOUBLE) AS weight FROM e) SELECT frame, dst AS key, round(sum(weight), 9) AS weight FROM w GROUP BY ALL")
+def double_gyre_frames_push(spark, sf):
+    """The uniform measure pushed forward in every frame."""
+    f = NonautonomousMap(S.double_gyre, GYRE.domain, _GYRE4, 0.0, 1.0, 0.1)
+    cells = BoxSet.full(spark, GYRE)
+    t = FramedTransfer(f, cells, np.arange(4) / 4)
+    uniform = cells.df.select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("frame"), "key", F.lit(1.0).alias("weight"))
+    return t.push_forward(uniform).withColumn("weight", F.round("weight", 9))
+
+
 def four_wing_map(ndim_points: int = 4) -> tuple[BatchMap, BoxPartition]:
     p = grid([5.0] * 3, [4] * 3)
     return BatchMap(FlowMap(S.four_wing, 0.01, 20), p.domain, grid_points(3, ndim_points)), p
@@ -775,6 +826,23 @@ def plot_hexahedra(spark, sf):
     return plotrel.hexahedra(BoxSet.cover(EMB, table(spark, sf, "embeddings"), [e[k].cast("double") for k in range(3)]))
 
 
+_EMB_POINTS = "(SELECT CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings) AS e"
+
+
+@query(f"WITH m AS (SELECT {Q.key_of(EMB, ['a', 'b', 'c'])} AS key, CAST(count(*) AS DOUBLE) AS w FROM {_EMB_POINTS} WHERE {Q.in_domain(EMB, ['a', 'b', 'c'])} GROUP BY 1), r AS (SELECT min(w) AS lo, max(w) AS hi FROM m) SELECT key, range AS corner, w AS value, CASE WHEN hi > lo THEN (w - lo) / (hi - lo) ELSE 0 END AS shade FROM m, r, range(8)")
+def plot_hexahedra_measure(spark, sf):
+    e = F.col("embedding")
+    m = BoxMeasure.histogram(EMB, table(spark, sf, "embeddings"), [e[k].cast("double") for k in range(3)]).stored()
+    return plotrel.measure_hexahedra(m).select("key", "corner", "value", "shade")
+
+
+@query(f"WITH c AS ({Q.cover(EMB, _EMB_POINTS, ['a', 'b', 'c'])}), n AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS cell FROM c) SELECT key, cell, range AS corner, cell * 8 + range AS vertex FROM n, range(8)")
+def plot_hex_connectivity(spark, sf):
+    e = F.col("embedding")
+    cells = BoxSet.cover(EMB, table(spark, sf, "embeddings"), [e[k].cast("double") for k in range(3)])
+    return plotrel.hex_connectivity(cells).select("key", "cell", F.posexplode("vertices").alias("corner", "vertex"))
+
+
 @query(_SCC + ", t AS (SELECT key, dense_rank() OVER (ORDER BY component) AS label FROM rec) SELECT key, label, (label - 1) % 20 AS colour FROM t")
 def plot_morse_tiles(spark, sf):
     return plotrel.tile_rectangles(BoxGraph(lozi_transfer(spark, sf)).tiles()).select("key", "label", "colour")

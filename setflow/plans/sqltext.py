@@ -120,3 +120,28 @@ def scaled(a: float) -> Map:
 
 def identity(*x: str) -> list[str]:
     return list(x)
+
+
+# Flows
+
+
+def rk4(points: str, keep: Sequence[str], xs: Sequence[str], t: str, field: Callable[[list[str], str], list[str]], span: float, steps: int) -> str:
+    """A query of ``keep`` and ``xs``: the classical Runge-Kutta flow of ``points(keep, xs, t)``, a recursive round per step."""
+    h, n = span / steps, len(xs)
+    cols = ", ".join([*keep, *xs, t])
+    stage = f"SELECT * FROM flow WHERE done < {steps}"
+    for i, (size, part) in enumerate(((None, 0.0), (h / 2.0, h / 2.0), (h / 2.0, h / 2.0), (h, h)), 1):
+        at = [x if size is None else f"({x} + {num(size)} * k{i - 1}_{d})" for d, x in enumerate(xs)]
+        when = t if size is None else f"({t} + {num(part)})"
+        stage = f"SELECT *, {', '.join(f'{e} AS at{i}_{d}' for d, e in enumerate(at))}, {when} AS t{i} FROM ({stage}) AS s{i}"
+        stage = f"SELECT *, {', '.join(f'{e} AS k{i}_{d}' for d, e in enumerate(field([f'at{i}_{d}' for d in range(n)], f't{i}')))} FROM ({stage}) AS f{i}"
+    moved = ", ".join(f"{x} + {num(h / 6.0)} * (k1_{d} + {num(2)} * k2_{d} + {num(2)} * k3_{d} + k4_{d}) AS {x}" for d, x in enumerate(xs))
+    return f"WITH RECURSIVE flow AS (SELECT {cols}, 0 AS done FROM {points} UNION ALL SELECT {', '.join(keep)}, {moved}, {t} + {num(h)} AS {t}, done + 1 AS done FROM ({stage}) AS s) SELECT {', '.join([*keep, *xs])} FROM flow WHERE done = {steps}"
+
+
+def double_gyre(x: list[str], t: str) -> list[str]:
+    pi, amp = float(np.pi), 0.25
+    s = f"({num(0.25)} * sin({num(2.0 * pi)} * {t}))"
+    rest = f"({num(1)} - {num(2)} * {s})"
+    fx, dfdx = f"({s} * {x[0]} * {x[0]} + {rest} * {x[0]})", f"({num(2)} * {s} * {x[0]} + {rest})"
+    return [f"({num(-pi * amp)} * sin({num(pi)} * {fx}) * cos({num(pi)} * {x[1]}))", f"({num(pi * amp)} * cos({num(pi)} * {fx}) * sin({num(pi)} * {x[1]}) * {dfdx})"]

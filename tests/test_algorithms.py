@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from setflow import (
-    BatchMap, Box, BoxGraph, BoxPartition, BoxSet, ColumnMap, FlowMap, NonautonomousMap, TransferOperator, alpha_limit_set, finite_time_lyapunov_exponents, ftle_frames, grid_points,
+    BatchMap, Box, BoxGraph, BoxMeasure, BoxPartition, BoxSet, ColumnMap, FlowMap, NonautonomousMap, TransferOperator, alpha_limit_set, finite_time_lyapunov_exponents, ftle_frames, grid_points,
     invariant_measure, lattice, maximal_invariant_set, morse_sets, morse_tiles, preimage, recurrent_set, relative_attractor, unstable_set,
 )
 from setflow.functions import systems as S
@@ -223,3 +223,80 @@ def test_plot_relations(spark):
         plotrel.hexahedra(cells)
     cube = BoxSet.from_keys(spark, BoxPartition(Box([0] * 3, [1] * 3), [2, 2, 2]), [0, 7])
     assert plotrel.hexahedra(cube).count() == 16 and [r["vertices"][0] for r in plotrel.hex_connectivity(cube).orderBy("cell").collect()] == [0, 8]
+
+
+def test_published_four_wing_counts(spark):
+    """The published case of 10 steps: 24,646 cells and 145,785 edges."""
+    from setflow.plans import queries as q
+
+    f, p = q.four_wing_map()
+    a = relative_attractor(f, BoxSet.full(spark, p), 10)
+    assert a.count() == 24_646
+    assert TransferOperator(f, a, a).nnz() == 145_785
+
+
+def test_splits_are_nearly_invariant(spark):
+    """The double gyre's two sides have about half of the cells each and keep most of their mass."""
+    from setflow.plans import queries as q
+
+    side = {r["key"]: r["side"] for r in q.almost_invariant_split(spark, "").collect()}
+    assert len(side) == 512 and 200 < sum(v > 0 for v in side.values()) < 312
+    f = NonautonomousMap(S.double_gyre, q.GYRE.domain, lattice(2, -0.9, 0.9, 4), 0.0, 1.0, 0.05)
+    cells = BoxSet.full(spark, q.GYRE)
+    edges = TransferOperator(f, cells, cells).edges.collect()
+    stays = sum(e["weight"] for e in edges if side[e["src"]] == side[e["dst"]])
+    assert stays / len({e["src"] for e in edges}) > 0.9
+    pairs = q.coherent_split(spark, "").collect()
+    start, end = {r["key"]: r["start"] for r in pairs}, {r["key"]: r["end"] for r in pairs}
+    assert sum(e["weight"] for e in edges if start[e["src"]] == end[e["dst"]]) / len(start) > 0.9
+
+
+def test_first_vector_and_tolerance(spark, monkeypatch):
+    p = BoxPartition(Box([0.5], [0.5]), [64])
+    cells = BoxSet.full(spark, p)
+    t = TransferOperator(ColumnMap(S.logistic, p.domain, grid_points(1, 8)), cells, cells)
+    want = t.eigs(1)[0]
+    monkeypatch.setattr(spectral, "DENSE_CELLS", 0)
+    v0 = BoxMeasure.from_dict(spark, p, {3: 1.0, 40: 2.0})
+    assert np.allclose(t.eigs(1, v0=v0)[0], want) and np.allclose(t.eigs(1, v0=v0, tol=1e-6)[0], want, atol=1e-4)
+    assert np.allclose(spectral.subspace_iteration(t, 1, v0=v0, tol=1e-6)[0], want, atol=1e-3)
+    with pytest.raises(ValueError):
+        t.eigs(1, v0=BoxMeasure.from_dict(spark, p, {}))
+    with pytest.raises(ValueError):
+        t.eigs(1, v0=BoxMeasure.from_dict(spark, BoxPartition(Box([0.5], [0.5]), [32]), {0: 1.0}))
+
+
+def test_unstable_set_in_tables_and_on_the_driver(spark, monkeypatch):
+    from setflow.operators import algorithms
+
+    p = BoxPartition(Box([0, 0], [13.5, 6.75]), [64, 64])
+    f, seed = ColumnMap(S.lozi, p.domain, lattice(2, -1, 1, 3)), BoxSet.from_keys(spark, p, [64 * 32 + 32])
+    few = algorithms.unstable_set(f, seed).keys()
+    monkeypatch.setattr(algorithms, "LOCAL_CELLS", 0)
+    monkeypatch.setattr(algorithms, "FRONTS", 2)
+    assert algorithms.unstable_set(f, seed).keys() == few and algorithms.unstable_set(f, BoxSet.empty(spark, p)).count() == 0
+    assert algorithms.relative_attractor(f, seed, 3).keys() == algorithms.relative_attractor(f, seed.stored(), 3).keys()
+    assert algorithms.maximal_invariant_set(f, BoxSet.full(spark, p), 1).count() == algorithms.maximal_invariant_set(f, BoxSet.full(spark, p).stored(), 1).count()
+
+
+def test_frames_have_their_own_operators(spark):
+    from setflow.operators.transfer import FramedTransfer
+    from setflow.plans import queries as q
+
+    cells = BoxSet.full(spark, q.GYRE)
+    f = NonautonomousMap(S.double_gyre, q.GYRE.domain, lattice(2, -0.9, 0.9, 2), 0.0, 1.0, 0.1)
+    t = FramedTransfer(f, cells, [0.0, 0.25], cells)
+    one = TransferOperator(f.with_t0(0.25), cells, cells)
+    key = lambda e: sorted((r["src"], r["dst"], r["hits"], round(r["weight"], 12)) for r in e.collect())
+    assert key(t.at(1).edges) == key(one.edges)
+    assert np.allclose(t.at(1).eigs(2)[0], one.eigs(2)[0])
+
+
+def test_auto_engine_raises_a_maps_own_errors():
+    from setflow.operators.maps import box_map
+
+    def broken(*x):
+        raise ZeroDivisionError("in the map itself")
+
+    with pytest.raises(ZeroDivisionError):
+        box_map(broken, Box([0.0], [1.0]), np.zeros((1, 1)))

@@ -63,3 +63,13 @@ def test_shift_operator_is_exact(spark, sides):
     assert (t @ left).equals(right) and t.pull_back(right).equals(left) and t.shape() == (64, 64)
     with pytest.raises(ValueError):
         t.push_forward(BoxMeasure.uniform(BoxSet.full(spark, P.subdivide(0))))
+
+
+def test_weights_from_a_table(spark):
+    p = BoxPartition(Box([0, 0], [1, 1]), [4, 4])
+    cells = BoxSet.from_keys(spark, p, [1, 5, 9])
+    good = spark.createDataFrame([("1", 2), ("5", 3), ("9", 0)], "cell string, w int")
+    assert BoxMeasure.from_weights(cells, good, "cell", "w").to_dict() == {1: 2.0, 5: 3.0, 9: 0.0}
+    for bad in ([("1", 2), ("5", 3)], [("1", 2), ("5", 3), ("9", 1), ("2", 1)], [("1", 2), ("1", 2), ("5", 3), ("9", 1)], [("1", 2), ("5", 3), ("9", 1), (None, 1)]):
+        with pytest.raises(Exception, match="key|cell"):
+            BoxMeasure.from_weights(cells, spark.createDataFrame(bad, "cell string, w int"), "cell", "w").to_dict()
