@@ -24,7 +24,7 @@ from .measure import BoxMeasure
 from .transfer import TransferOperator
 
 #: Steps of a batch map with at most so many test points need no job.
-LOCAL_POINTS = 1 << 18
+LOCAL_POINTS = 1 << 19
 LOCAL_CELLS = 1 << 16
 
 
@@ -47,10 +47,14 @@ def _small(cells: BoxSet, box_map: BoxMap, steps: int) -> tuple[BoxSet, int]:
     return (BoxSet(p, key_frame(cells.df.sparkSession, keys)), steps) if taken else (cells, steps)
 
 
-def _settled(cells: BoxSet, few: bool) -> tuple[BoxSet, int | None]:
-    """A set computed once: where it may have few cells as keys on the driver, with their number, else as a stored table."""
+def _settled(cells: BoxSet, few: bool, most: int | None = None) -> tuple[BoxSet, int | None]:
+    """A set computed once: where it may have few cells as keys on the driver, with their number, else as a stored table.
+
+    ``most``: how many cells it can have, if that is known.
+    """
     if few:
-        first = cells.df.limit(LOCAL_CELLS + 1).toArrow()
+        bounded = most is not None and most <= LOCAL_CELLS
+        first = (cells.df if bounded else cells.df.limit(LOCAL_CELLS + 1)).toArrow()
         if first.num_rows <= LOCAL_CELLS:
             return BoxSet(cells.partition, key_frame(cells.df.sparkSession, first.column("key").to_numpy())), first.num_rows
     return cells.stored(), None
@@ -59,7 +63,12 @@ def _settled(cells: BoxSet, few: bool) -> tuple[BoxSet, int | None]:
 def relative_attractor(box_map: BoxMap, cells: BoxSet, steps: int = 12) -> BoxSet:
     """Refine, then keep the cells that are hit from the set itself; ``steps`` times, even if the set becomes empty."""
     cells, steps = _small(cells, box_map, steps)
-    return _refined(cells, steps, lambda fine: fine & box_map.image(fine))
+    return _refined(cells, steps, lambda fine, few: BoxSet(fine.partition, box_map.image(fine).df.join(_beside(fine, few), "key", "left_semi")) if few else fine & box_map.image(fine))
+
+
+def _beside(cells: BoxSet, few: bool) -> DataFrame:
+    """Cells for the side of a join: broadcast where there are at most ``LOCAL_CELLS``."""
+    return F.broadcast(cells.df) if few else cells.df
 
 
 def _refined(cells: BoxSet, steps: int, keep) -> BoxSet:
@@ -68,7 +77,8 @@ def _refined(cells: BoxSet, steps: int, keep) -> BoxSet:
         return cells
     old, (cells, n) = None, _settled(cells, not hasattr(cells.df, "_stored_at"))
     for _ in range(steps):
-        cells, n = _settled(keep(cells.refine()), n is not None and 2 * n <= LOCAL_CELLS)
+        few = n is not None and 2 * n <= LOCAL_CELLS
+        cells, n = _settled(keep(cells.refine(), few), few, 2 * n if few else None)
         if old is not None:
             discard(old)
         old = cells.df
@@ -94,22 +104,22 @@ def unstable_set(box_map: BoxMap, seed: BoxSet, max_iter: int | None = None) ->
     return BoxSet(seed.partition, reduce(DataFrame.union, parts))
 
 
-def preimage(box_map: BoxMap, cells: BoxSet, among: BoxSet) -> BoxSet:
-    """Cells of ``among`` with a hit in ``cells``: a semi join, no matrix."""
-    pairs = box_map.counted(among, cells.partition).join(cells.df.withColumnRenamed("key", "dst"), "dst", "left_semi")
+def preimage(box_map: BoxMap, cells: BoxSet, among: BoxSet, few: bool = False) -> BoxSet:
+    """Cells of ``among`` with a hit in ``cells``: a semi join, no matrix. ``few``: there are at most ``LOCAL_CELLS`` of them."""
+    pairs = box_map.counted(among, cells.partition).join(_beside(cells, few).withColumnRenamed("key", "dst"), "dst", "left_semi")
     return BoxSet(among.partition, pairs.select(F.col("src").alias("key")).distinct())
 
 
 def alpha_limit_set(box_map: BoxMap, cells: BoxSet, steps: int = 12) -> BoxSet:
     """Refine, then keep the cells whose image meets the set."""
-    return _refined(cells, steps, lambda fine: preimage(box_map, fine, fine))
+    return _refined(cells, steps, lambda fine, few: preimage(box_map, fine, fine, few))
 
 
 def maximal_invariant_set(box_map: BoxMap, cells: BoxSet, steps: int = 12) -> BoxSet:
     """Refine, then keep the cells that are hit from the set and whose image meets it; the map is applied once a step."""
 
-    def keep(fine: BoxSet) -> BoxSet:
-        pairs = stored(box_map.counted(fine).select("src", "dst").join(fine.df.withColumnRenamed("key", "dst"), "dst", "left_semi"), "pairs")
+    def keep(fine: BoxSet, few: bool) -> BoxSet:
+        pairs = stored(box_map.counted(fine).select("src", "dst").join(_beside(fine, few).withColumnRenamed("key", "dst"), "dst", "left_semi"), "pairs")
         hit, source = pairs.select(F.col("dst").alias("key")).distinct(), pairs.select(F.col("src").alias("key")).distinct()
         both, _ = _settled(BoxSet(fine.partition, hit.join(source, "key", "left_semi")), True)
         discard(pairs)
@@ -132,7 +142,8 @@ def recurrent_set(box_map: BoxMap, cells: BoxSet, steps: int = 12) -> BoxSet:
     for _ in range(steps):
         if n == 0 or (n is None and cells.is_empty()):
             break
-        cells, n = _settled(morse_sets(box_map, cells.refine()), n is not None and 2 * n <= LOCAL_CELLS)
+        few = n is not None and 2 * n <= LOCAL_CELLS
+        cells, n = _settled(morse_sets(box_map, cells.refine()), few, 2 * n if few else None)
     return cells
 
 
