@@ -9,7 +9,7 @@
    standard deviations below the threshold) go, the rest is confirmed on the full sets.
 4. Components are found by min-label propagation over stored tables.
 5. A bucket whose members are still in different components may hide links between members that neither is
-   linked to the centre. While an exact join of those members would list more than ``FEW`` pairs per member of any bucket, further
+   linked to the centre. While an exact join of those members would list more than ``FEW`` pairs per member, further
    rounds compare them with other centres (by another hash each round), as long as that finds links: each costs one pair
    per member and bucket, and grows the components, so that few pairs of different components are left.
 6. The rest is joined exactly: shingles are ordered from rare to frequent among the undecided members, two
@@ -39,8 +39,10 @@ from pyspark.sql import functions as F
 from .common import discard, scratch, small_batches, stored
 
 PERMS, ROWS, LOW_BITS = 128, 4, 2
-#: Pairs of different components that the exact join may list, per member of a bucket, before another round of centres is tried first.
-FEW = 4
+#: Pairs of different components that the exact join may list, per undecided class, before another round of centres is tried first.
+FEW = 32
+#: The same for pairs that share an early shingle, before their bounds are looked at, per member of a bucket.
+MET = 64
 #: Rounds of other centres at most; the exact join decides what they leave.
 ROUNDS = 12
 _rng = np.random.default_rng(20240607)
@@ -208,22 +210,26 @@ def _listed(first: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
     tokens = by.groupBy("token").agg(F.sum("k").alias("all"), F.max(F.struct("k", "label")).alias("m")).where("all > m.k")
     tokens = stored(tokens.select("token", F.col("m.label").alias("major"), "all", F.col("m.k").alias("k")), "majors")
     pairs = tokens.agg(F.sum(F.col("all").cast("double") * (F.col("all") - F.col("k")))).first()[0]
-    return rows.join(tokens.select("token", "major"), "token"), int(pairs or 0)
+    # stored, so that the two sides of the exact join are plain shuffles, whose large partitions Spark can split
+    return stored(rows.join(tokens.select("token", "major"), "token"), "rows"), int(pairs or 0)
 
 
-def _may_link(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels whose sets can be similar enough; loses none. ``rows(token, id, n, at, label, major)``.
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels whose sets can be similar enough, once per shared early shingle; loses none. ``rows(token, id, n, at, label, major)``.
 
     If sets of n and m shingles share the shingle at places i and j, and it is the first they share, they overlap in at
     most 1 + min(n - i - 1, m - j - 1) shingles; they need percent / (100 + percent) of n + m.
     """
-    rows = stored(rows, "rows")  # so that the join's two sides are plain shuffles, whose large partitions Spark can split
     x, y = rows.where("label != major").alias("x"), rows.alias("y")
     most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     enough = most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     once = (F.col("y.label") == F.col("y.major")) | (F.col("x.id") < F.col("y.id"))
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & once & enough)
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def _may_link(rows: DataFrame, percent: int) -> DataFrame:
+    return _met(rows, percent).distinct()
 
 
 def _named(some: DataFrame) -> tuple[DataFrame, bool]:
@@ -275,10 +281,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
         undecided = apart()
         if not undecided.isEmpty():
-            first, tried, enough = _prefixes(undecided.select("id").distinct(), texts, width, percent), 0, FEW * members.count()
+            first, tried, shared = _prefixes(undecided.select("id").distinct(), texts, width, percent), 0, MET * members.count()
             while True:
-                rows, most = _listed(first, undecided.select("id", "label").distinct())
-                if most <= enough or tried == ROUNDS:
+                open_ = stored(undecided.select("id", "label").distinct(), "open")
+                rows, most = _listed(first, open_)
+                enough = min(FEW * open_.count(), (1 << 31) - 2)  # a limit is an int
+                if tried == ROUNDS or (most <= shared and _met(rows, percent).limit(enough + 1).count() <= enough):
                     break
                 tried += 1
                 # other centres: of the bucket's members the first by another hash
