@@ -211,7 +211,9 @@ def _listed(first: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
     tokens = stored(tokens.select("token", F.col("m.label").alias("major"), "all", F.col("m.k").alias("k")), "majors")
     pairs = tokens.agg(F.sum(F.col("all").cast("double") * (F.col("all") - F.col("k")))).first()[0]
     # stored, so that the two sides of the exact join are plain shuffles, whose large partitions Spark can split
-    return stored(rows.join(tokens.select("token", "major"), "token"), "rows"), int(pairs or 0)
+    rows = stored(rows.join(tokens.select("token", "major"), "token"), "rows")
+    discard(tokens)
+    return rows, int(pairs or 0)
 
 
 def _met(rows: DataFrame, percent: int) -> DataFrame:
@@ -258,17 +260,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         # stored, so that the join's two sides are plain shuffles, whose large partitions Spark can split
         crowded = stored(members.groupBy("band", "key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "crowded")
         members = stored(members.join(crowded, ["band", "key"]).select("band", "key", "node", "a"), "members")
+        discard(crowded)
         # the texts that any later step may ask for: those with company in some bucket
         busy = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("i"), F.col("th").alias("t"))
         texts = stored(own.where("text is not null").join(busy, (F.col("doc_id") == F.col("i")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "node", "text").distinct().select("node", "text"), "texts")
         sigs = classes.select("node", "sig")
-        pairs = stored(_likely(members.where("node != a").select("a", F.col("node").alias("b")).distinct(), sigs, percent), "pairs")
-        links = _confirmed(pairs, texts, width, percent)
+
+        def linked(pairs: DataFrame) -> DataFrame:
+            """Stored ``(a, b)``: those of the pairs that pass."""
+            likely = stored(_likely(pairs, sigs, percent), "likely")
+            out = stored(_confirmed(likely, texts, width, percent), "linked")
+            discard(likely)
+            return out
+
+        links = linked(members.where("node != a").select("a", F.col("node").alias("b")).distinct())
         if numbered:  # rows that share an id tie their classes together
             shared = some.select("doc_id", "set_a", "set_b").distinct().join(classes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).select("doc_id", "node")
             least = shared.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-            links = links.unionByName(shared.join(least, "doc_id").where("node != a").select("a", F.col("node").alias("b")))
-        found = components(stored(links, "links"))
+            links = stored(links.unionByName(shared.join(least, "doc_id").where("node != a").select("a", F.col("node").alias("b"))), "links")
+        found = components(links)
+        discard(links)
         # members of one bucket that are still in different components
         label = F.coalesce("label", "id")
         whose = members.select(F.col("node").alias("id"), "band", "key")
@@ -277,7 +288,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             """Stored ``(id, label, band, key)`` of the buckets with several components."""
             labelled = whose.join(found, "id", "left").select("band", "key", "id", label.alias("label"))
             mixed = stored(labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band", "key"), "apart")
-            return stored(labelled.join(mixed, ["band", "key"], "left_semi"), "undecided")
+            out = stored(labelled.join(mixed, ["band", "key"], "left_semi"), "undecided")
+            discard(mixed)
+            return out
+
+        def merged(more: DataFrame) -> DataFrame:
+            """The components with more links."""
+            out = components(more.unionByName(found.select(F.col("id").alias("a"), F.col("label").alias("b")).where("a != b")), found)
+            discard(more, found)
+            return out
 
         undecided = apart()
         if not undecided.isEmpty():
@@ -286,21 +305,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
                 open_ = stored(undecided.select("id", "label").distinct(), "open")
                 rows, most = _listed(first, open_)
                 enough = min(FEW * open_.count(), (1 << 31) - 2)  # a limit is an int
+                discard(open_)
                 if tried == ROUNDS or (most <= shared and _met(rows, percent).limit(enough + 1).count() <= enough):
                     break
                 tried += 1
                 # other centres: of the bucket's members the first by another hash
                 centre = undecided.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("id", F.lit(tried)).alias("h"), F.col("id").alias("a"), F.col("label").alias("la"))).alias("c")).select("band", "key", "c.a", "c.la")
                 centre = stored(centre, "centres")
-                star = undecided.join(centre, ["band", "key"]).where("label != la").select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
-                more = stored(_confirmed(stored(_likely(star, sigs, percent), "star"), texts, width, percent), "more")
+                more = linked(undecided.join(centre, ["band", "key"]).where("label != la").select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct())
+                discard(centre)
                 if more.isEmpty():
                     break
-                found = components(more.unionByName(found.select(F.col("id").alias("a"), F.col("label").alias("b")).where("a != b")), found)
+                discard(rows, undecided)
+                found = merged(more)
                 undecided = apart()
-            more = stored(_confirmed(stored(_likely(_may_link(rows, percent), sigs, percent), "star"), texts, width, percent), "more")
+            discard(first, undecided)
+            more = linked(_may_link(rows, percent))
+            discard(rows)
             if not more.isEmpty():
-                found = components(more.unionByName(found.select(F.col("id").alias("a"), F.col("label").alias("b")).where("a != b")), found)
+                found = merged(more)
         labels = classes.join(found.withColumnRenamed("id", "node"), "node", "left").select("set_a", "set_b", "id", F.coalesce("label", "node").alias("label"))
         if numbered:
             labels = labels.join(labels.groupBy("label").agg(F.min("id").alias("least")), "label").select("set_a", "set_b", F.col("least").alias("label"))
